@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestack.llm import queries_a
+from lodestack.llm import queries_a, queries_b
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for module in (queries_a,) for name, f in vars(module).items() if name.startswith("op")}
+    return {name: f for module in (queries_a, queries_b) for name, f in vars(module).items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
