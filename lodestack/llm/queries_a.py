@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestack.llm import quality, secrets
+from lodestack.llm import mixing, packing, quality, secrets
 from lodestack.llm.common import sf_table
 
 
@@ -14,3 +14,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(sf_table(spark, sf_dir, "documents"))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(sf_table(spark, sf_dir, "documents"))
+
+
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(sf_table(spark, sf_dir, "documents"))
