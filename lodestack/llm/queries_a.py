@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestack.llm import mixing, packing, quality, secrets
+from lodestack.llm import chat, mixing, ordermin, packing, quality, secrets, toxicity
 from lodestack.llm.common import sf_table
 
 
@@ -22,3 +22,16 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(sf_table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = sf_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, sf_table(spark, sf_dir, "labels")))
+
+
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordermin.fingerprints(sf_table(spark, sf_dir, "documents"))
+
+
+def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.read_back(chat.windows(chat.with_probe(sf_table(spark, sf_dir, "conversations"))))

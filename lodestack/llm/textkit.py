@@ -49,14 +49,16 @@ def spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def word_hashes(data: bytes, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each word; A-Z count as a-z if ``lower``."""
+def word_hashes(data: bytes, lower: bool = True, longest: int | None = None) -> np.ndarray:
+    """A 64-bit hash of each word, or of its first ``longest`` bytes; A-Z count as a-z if ``lower``."""
     buf = np.frombuffer(data, np.uint8)
     if not len(buf):
         return np.empty(0, _U)
     if lower:
         buf = _LOWER[buf]
     starts, ends = spans(buf)
+    if longest is not None:
+        ends = np.minimum(ends, starts + longest)
     powers, inverses = _tables(len(buf) + 1)
     sums = np.zeros(len(buf) + 1, _U)
     np.cumsum((buf.astype(_U) + _U(1)) * powers[: len(buf)], out=sums[1:])
