@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestack.llm import linededup, neardup
+from lodestack.llm import chaining, linededup, neardup
 from lodestack.llm.common import sf_table
 
 
@@ -14,3 +14,7 @@ def op8_superminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.deduplicate(sf_table(spark, sf_dir, "documents"), report=True)
+
+
+def op5_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.passages(sf_table(spark, sf_dir, "documents"))
