@@ -58,7 +58,7 @@ def candidates(text: Column) -> Column:
     base = F.concat(assign, _spans(text, "access", ACCESS), _spans(text, "hex", HEX))
     token = F.filter(
         _spans(text, "token", TOKEN),
-        lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(x["value"], ""))) >= 10),
+        lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]") & (F.size(F.array_distinct(F.regexp_extract_all(x["value"], F.lit("."), F.lit(0)))) >= 10),
     )
     return base, token
 
