@@ -8,7 +8,7 @@ next rank, which later ranks can't improve.
 
 Links: equal sets become one class first. Classes that share a band of their
 signatures are candidates; signatures that agree too little are put aside
-(five standard deviations below the threshold), the rest is confirmed on full
+(more than four standard deviations below the threshold), the rest is confirmed on full
 sets. Three passes keep big buckets cheap without losing a link:
 
 1. each class of a bucket against the bucket's hub, the class that shares most
@@ -42,10 +42,11 @@ from lodestack.llm import textkit
 from lodestack.llm.common import cut, drop, quoted, require
 from lodestack.llm.unionfind import components
 
-SLOTS = 120
-ROWS = 4
-#: Signatures that agree in a smaller share are no candidates: J = 0.8 has a standard deviation of 0.037 at most.
-LEAST_AGREEMENT = 0.6
+SLOTS = 240
+#: Bands of ROWS slots; the slots beyond serve the estimate alone.
+BANDS, ROWS = 30, 4
+#: Signatures that agree in a smaller share are no candidates: at J = 0.8 the share has a standard deviation of 0.026 at most.
+LEAST_AGREEMENT = 0.68
 BLOCK = 512
 PARTNERS = 2
 _U = np.uint64
@@ -81,8 +82,8 @@ def superminhash(elements: np.ndarray, slots: int = SLOTS) -> np.ndarray:
 def sketch(elements: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Sixteen bits of each slot, and a key of each band."""
     bits = textkit.mix(superminhash(elements).view(_U))
-    key = np.zeros(SLOTS // ROWS, _U)
-    for column in bits.reshape(-1, ROWS).T:
+    key = np.zeros(BANDS, _U)
+    for column in bits[: BANDS * ROWS].reshape(-1, ROWS).T:
         key = textkit.mix(key * _U(31) + column)
     key = textkit.mix(key + np.arange(len(key), dtype=_U))
     return (bits >> _U(48)).astype("<u2").tobytes(), key.view(np.int64)
@@ -124,8 +125,9 @@ def agreement(a, b):  # noqa: ANN001, ANN201
 def _across(size_num: int, partners: int | None):
     """Pairs of different components within each group of rows (sorted by group); of each row the likeliest ``partners`` only, if given."""
 
-    def pairs(node, comp, n, blk, split, sig):  # noqa: ANN001, ANN202
+    def pairs(node, comp, n, blk, split, sig, band):  # noqa: ANN001, ANN202
         out = []
+        banded = sig[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
         for i in range(len(node) - 1):
             other = slice(i + 1, None)
             may = (comp[other] != comp[i]) & (100 * np.minimum(n[other], n[i]) >= size_num * np.maximum(n[other], n[i]))
@@ -138,6 +140,9 @@ def _across(size_num: int, partners: int | None):
             near = (sig[at] == sig[i]).mean(axis=1)
             good = near >= LEAST_AGREEMENT
             at, near = at[good], near[good]
+            # a pair that shares several buckets is told by the first of its bands only
+            first = (banded[at] == banded[i]).all(axis=2).argmax(axis=1) == band
+            at, near = at[first], near[first]
             if partners is not None and len(at) > partners:
                 at = at[np.argsort(-near, kind="stable")[:partners]]
             out += [(node[i], node[k]) for k in at]
@@ -166,12 +171,12 @@ def _across(size_num: int, partners: int | None):
         begin, out = 0, []
         if ends:
             done = table.slice(0, int(ends[-1])).combine_chunks()
-            node, comp, n, blk = (done.column(c).to_numpy() for c in ("node", "comp", "n", "blk"))
+            node, comp, n, blk, band = (done.column(c).to_numpy() for c in ("node", "comp", "n", "blk", "band"))
             sig = np.frombuffer(b"".join(done.column("sig").to_pylist()), "<u2").reshape(len(node), -1)
             for end in ends:
                 if end - begin > 1:
                     s = slice(begin, end)
-                    out += pairs(node[s], comp[s], n[s], blk[s], bi[begin] != bj[begin], sig[s])
+                    out += pairs(node[s], comp[s], n[s], blk[s], bi[begin] != bj[begin], sig[s], band[begin])
                 begin = int(end)
         return table.slice(begin), out
 
@@ -201,7 +206,7 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th", "n", "sig", "bands")).alias("r")
     nodes = cut(full.groupBy("k1", "k2").agg(first).select("k1", "k2", "r.doc_id", "r.th", "r.n", "r.sig", "r.bands").withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    banded = nodes.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
+    banded = nodes.select("node", F.posexplode("bands").alias("band", "key")).select("node", "band", F.xxhash64("band", "key").alias("bucket"))
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     shared = cut(banded.join(sizes, "bucket"), "buckets")
     fame = shared.groupBy("node").agg(F.sum("members").alias("fame"))
@@ -234,13 +239,13 @@ def _all(tables: list[DataFrame]) -> DataFrame:
 
 def _open_buckets(shared: DataFrame, slim: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows of the buckets that hold several components, dealt in pairs of blocks of about BLOCK rows."""
-    placed = shared.join(roots, "node", "left").select("bucket", "node", "members", F.coalesce("root", "node").alias("comp"))
+    placed = shared.join(roots, "node", "left").select("bucket", "band", "node", "members", F.coalesce("root", "node").alias("comp"))
     still = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
     rows = placed.join(still, "bucket", "left_semi").join(slim, "node")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     rows = rows.withColumn("nb", blocks).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select("bucket", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "node", "comp", "n", "blk", "sig")
+    rows = rows.select("bucket", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "node", "comp", "n", "blk", "band", "sig")
     return rows.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
 
 
