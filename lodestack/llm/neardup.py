@@ -42,13 +42,13 @@ from lodestack.llm import textkit
 from lodestack.llm.common import cut, drop, quoted, require
 from lodestack.llm.unionfind import components
 
-SLOTS = 240
+SLOTS = 360
 #: Bands of ROWS slots; the slots beyond serve the estimate alone.
 BANDS, ROWS = 30, 4
-#: Signatures that agree in a smaller share are no candidates: at J = 0.8 the share has a standard deviation of 0.026 at most.
-LEAST_AGREEMENT = 0.68
+#: Signatures that agree in a smaller share are no candidates: at J = 0.8 the share has a standard deviation of 0.021 at most.
+LEAST_AGREEMENT = 0.71
 BLOCK = 512
-PARTNERS = 2
+PARTNERS = 1
 _U = np.uint64
 _SIGNED = "doc_id long, th long, n long, k1 long, k2 long, sig binary, bands array<long>"
 
