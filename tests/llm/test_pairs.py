@@ -163,6 +163,24 @@ def test_line_dedup(spark, sf_dir):
     assert linededup.deduplicate(df.limit(0)).count() == 0
 
 
+def test_lines_without_or_with_few_blanks(spark):
+    """Equal but for their beginning or one character: candidates must come from every position of a line."""
+    rng = random.Random(9)
+    run = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    han = "".join(map(chr, range(0x4E00, 0x4F00)))
+    texts = []
+    for k in range(12):
+        body, url, row = run(90, han), run(110, "abcdefghijklmnop/"), "\t".join(run(9, "abcdefgh") for _ in range(9))
+        few = [run(50, "abcdefghijklmnop"), run(50, "abcdefghijklmnop")]
+        for a, b in ((f"{k}、" + body, f"{k + 40}、" + body), ("http://" + url, "ftp://" + url), (f"{k}\t" + row, f"{k + 40}\t" + row), (" ".join(few), "x" + " ".join(few)[1:])):
+            texts += [a, b]
+    plain = dict(enumerate(texts))
+    want = {i: v for i, v in lines_by_force(plain, 80, linededup.MIN_CHARS).items() if v}
+    assert len(want) == len(texts) // 2
+    got = linededup.deduplicate(frame(spark, texts), report=True).collect()
+    assert {r.doc_id: {int(x) for x in r.dropped.split(",")} for r in got if r.dropped} == want
+
+
 def test_chains():
     p, q = np.array([0, 5, 10, 15, 300, 305]), np.array([100, 105, 111, 116, 10, 15])
     got = chaining.chain(p, q)
