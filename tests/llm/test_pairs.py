@@ -227,6 +227,36 @@ def test_passages(spark):
     assert chaining.passages(frame(spark, [])).count() == 0
 
 
+def test_passages_of_sentences_known_from_other_texts(spark):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3))
+    noise = lambda n: [word() for _ in range(n)]
+    texts, want = [], set()
+    for _ in range(12):
+        sentences = [noise(20) for _ in range(3)]
+        for x in sentences:  # so many that some have a smaller hash than either text below
+            texts += [" ".join(noise(30) + x + noise(30)) for _ in range(12)]
+        n = len(texts)
+        texts += [" ".join(noise(40) + sum(sentences, []) + noise(40)) for _ in range(2)]
+        want.add(frozenset((n, n + 1)))
+    got = {frozenset((r.doc_id, r.other_id)) for r in chaining.passages(frame(spark, texts)).collect() if r.end - r.start >= 50}
+    assert want <= got
+
+
+def test_all_positions_of_the_head(spark):
+    """A passage begins with words that its head text has at an earlier place too."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3))
+    noise = lambda n: [word() for _ in range(n)]
+    texts = []
+    for _ in range(12):
+        x = [noise(21) for _ in range(2)]
+        body = x[0] + x[1]
+        texts += [" ".join(x[1] + noise(90) + x[0] + noise(90) + body + noise(20)), " ".join(x[0] + noise(90) + x[1] + noise(90) + body + noise(60))]
+    rows = [r for r in chaining.passages(frame(spark, texts)).collect() if r.end - r.start >= 40]
+    assert {frozenset((r.doc_id, r.other_id)) for r in rows} == {frozenset((i, i + 1)) for i in range(0, 24, 2)}
+
+
 def test_seed_density():
     rng = random.Random(1)
     data = " ".join(f"w{rng.randrange(10**6)}" for _ in range(2000)).encode()
