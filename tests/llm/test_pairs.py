@@ -257,6 +257,19 @@ def test_all_positions_of_the_head(spark):
     assert {frozenset((r.doc_id, r.other_id)) for r in rows} == {frozenset((i, i + 1)) for i in range(0, 24, 2)}
 
 
+def test_passages_of_one_seed(spark):
+    """Least and edited passages, many of which have a single seed in common."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3))
+    noise = lambda n: [word() for _ in range(n)]
+    texts = []
+    for _ in range(60):
+        x = noise(32)
+        texts += [" ".join(noise(50) + x + noise(50)), " ".join(noise(50) + x + noise(50))]
+    pairs = {frozenset((r.doc_id, r.other_id)) for r in chaining.passages(frame(spark, texts)).collect()}
+    assert pairs == {frozenset((i, i + 1)) for i in range(0, 120, 2)}
+
+
 def test_seed_density():
     rng = random.Random(1)
     data = " ".join(f"w{rng.randrange(10**6)}" for _ in range(2000)).encode()
