@@ -4,7 +4,8 @@ Base rules come from the words and lines of the whole text. The method adds
 what public vocabularies say of a text: characters per token, share of byte
 fallback tokens and entropy of the tokens. Each language that has enough
 documents gets bands around its own medians; the others use the band of their
-script. Outside a band a document is rejected.
+script, taken over all documents in it, or else that of the whole corpus.
+Outside a band a document is rejected.
 
 Words are encoded one by one (a blank before each), so a bounded table of
 words already seen spares most calls of the tokenisers; no vocabulary here
@@ -13,7 +14,7 @@ merges across blanks, so this equals encoding words in place.
 Bands: a measure is accepted within ``spread`` times the interquartile range
 beyond its quartiles, and always within the absolute ``slack`` of the median.
 The quartiles are taken over all documents that pass the base rules; at most
-26**2 languages (two letters) plus the scripts have a band, so the table of
+26**2 languages (two letters), the scripts and the corpus have a band, so the table of
 bands that is sent to the executors has a proven bound.
 
 Null text has no words and fails the base rules; null or odd languages count by
@@ -43,8 +44,10 @@ _WHITE = "\t\n\x0b\x0c\r "
 CACHE_WORDS = 150_000
 #: Documents with fewer words have no reliable fertility and are not judged by it.
 MIN_TOKENS = 30
-#: A language or script with fewer documents than this has no band of its own.
+#: A language or script with fewer documents than this has no band of its own; a corpus with fewer has none at all.
 MIN_GROUP = 40
+#: The group of all documents.
+ALL = "*"
 SPREAD = 6.0
 SLACK = {"chars_per_token": 0.9, "byte_chars_per_token": 0.9, "byte_share": 0.10, "entropy": 1.2}
 MEASURES = tuple(SLACK)
@@ -140,14 +143,20 @@ def measures(folder: str):
     return run
 
 
-def group_of(lang: Column, text: Column) -> Column:
-    """A two-letter language, else ``script:NAME``: a bounded set of groups."""
-    script = F.lit("other")
+def script_of(text: Column) -> Column:
+    """``script:NAME`` of the first of SCRIPTS that the text has; one pass settles a text that has none of them."""
     head = F.coalesce(text, F.lit(""))
+    script = F.when(head.rlike("[A-Za-z]"), F.lit("latin")).otherwise(F.lit("other"))
+    named = script
     for name, pattern in reversed(SCRIPTS):
-        script = F.when(head.rlike(pattern), F.lit(name)).otherwise(script)
-    script = F.when(script == "other", F.when(head.rlike("[A-Za-z]"), F.lit("latin")).otherwise(F.lit("other"))).otherwise(script)
-    return F.when(lang.rlike("^[a-z]{2}$"), lang).otherwise(F.concat(F.lit("script:"), script))
+        named = F.when(head.rlike(pattern), F.lit(name)).otherwise(named)
+    anyone = "[" + "".join(pattern[1:-1] for _, pattern in SCRIPTS) + "]"
+    return F.concat(F.lit("script:"), F.when(head.rlike(anyone), named).otherwise(script))
+
+
+def group_of(lang: Column, script: Column) -> Column:
+    """A two-letter language, else the script: a bounded set of groups."""
+    return F.when(lang.rlike("^[a-z]{2}$"), lang).otherwise(script)
 
 
 def base_failed() -> Column:
@@ -155,11 +164,12 @@ def base_failed() -> Column:
 
 
 def bands(measured: DataFrame, spread: float = SPREAD, slack: dict[str, float] | None = None) -> list[tuple]:
-    """(group, measure, low, high) from the quartiles of all documents that pass the base rules."""
+    """(group, measure, low, high) from the quartiles of all documents that pass the base rules: of each language, script and of ALL."""
     slack = slack or SLACK
     fine = measured.where(~base_failed() & (F.col("n_tokens") >= MIN_TOKENS))
     quartiles = [F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(2000)).alias(m) for m in MEASURES]
     out = []
+    fine = fine.select(F.explode(F.array_distinct(F.array("grp", "script", F.lit(ALL)))).alias("grp"), *MEASURES)
     for row in fine.groupBy("grp").agg(F.count("*").alias("n"), *quartiles).where(f"n >= {MIN_GROUP}").collect():
         for m in MEASURES:
             q1, mid, q3 = row[m]
@@ -180,7 +190,9 @@ def assess(docs: DataFrame, vocabularies: str = VOCABULARIES, spread: float = SP
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     # the rows themselves travel with their measures only where they are wanted back: one write of the table instead of a join on its texts
     row = F.struct(*[F.col(quoted(c)) for c in docs.columns]) if keep_columns else F.struct(F.col("doc_id"))
-    tagged = docs.select(F.struct(row.alias("row"), F.col("doc_id"), group_of(lang, F.col("text")).alias("grp")).alias("tag"), "text")
+    packed = docs.select(row.alias("row"), F.col("doc_id"), F.col("text"), lang.alias("lang"), script_of(F.col("text")).alias("script"))
+    lang = F.col("lang")
+    tagged = packed.select(F.struct(F.col("row"), F.col("doc_id"), group_of(lang, F.col("script")).alias("grp"), F.col("script")).alias("tag"), "text")
     table = cut(tagged.mapInArrow(_tagged(vocabularies), _tagged_type(tagged)).select("tag.*", *MEASURED.names[1:]), "quality")
     judged = verdicts(table, bands(table, spread))
     return judged.where("kept").select("row.*") if keep_columns else judged.drop("row")
@@ -220,7 +232,8 @@ def verdicts(table: DataFrame, found: list[tuple]) -> DataFrame:
             continue
         low = F.create_map(*chain.from_iterable((F.lit(g), F.lit(float(v[0]))) for g, v in of.items()))
         high = F.create_map(*chain.from_iterable((F.lit(g), F.lit(float(v[1]))) for g, v in of.items()))
-        outside = (F.col(m) < F.try_element_at(low, F.col("grp"))) | (F.col(m) > F.try_element_at(high, F.col("grp")))
+        of_row = lambda limit: F.coalesce(*[F.try_element_at(limit, g) for g in (F.col("grp"), F.col("script"), F.lit(ALL))])
+        outside = (F.col(m) < of_row(low)) | (F.col(m) > of_row(high))
         reasons.append(F.when((F.col("n_tokens") >= MIN_TOKENS) & outside, F.lit(m)))
     why = F.filter(F.array(*reasons), lambda x: x.isNotNull()) if reasons else F.array().cast("array<string>")
     out = table.withColumn("base_failed", base_failed()).withColumn("outside", why)

@@ -111,6 +111,22 @@ def test_bands_reject_what_is_far_outside(spark, documents):
     assert not row.base_failed and not row.kept and "byte_share" in row.outside
 
 
+def ordinary(n, seed, size=300):
+    rng = random.Random(seed)
+    vocab = ["".join(rng.choice("bcdfghklmnprstvw") + rng.choice("aeiou") + rng.choice(("", "n", "r", "s", "l")) for _ in range(2)) for _ in range(1500)]
+    return vocab, [(i, " ".join(rng.choice(vocab) for _ in range(size)), "en") for i in range(n)]
+
+
+def test_rare_languages_have_the_band_of_script_or_corpus(spark):
+    rng = random.Random(6)
+    _, rows = ordinary(120, 7)
+    latin = " ".join("".join(rng.choice("qxzjkvw") for _ in range(9)) for _ in range(200))
+    odd = " ".join("".join(rng.choice("ʘʬ⨀⨁⨂") for _ in range(9)) for _ in range(200))
+    rare = [(-1, latin, "zz"), (-2, odd, "zz"), (-3, latin, "invented"), (-4, odd, None), (-5, rows[0][1], "zz")]
+    got = {r.doc_id: r for r in quality.assess(spark.createDataFrame([*rows, *rare], "doc_id long, text string, lang string")).collect()}
+    assert [got[i].kept for i in (-1, -2, -3, -4, -5)] == [False] * 4 + [True]
+
+
 # toxicity
 def test_toxicity_learns_planted_words():
     rng = random.Random(3)
