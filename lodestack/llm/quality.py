@@ -13,6 +13,10 @@ merges across blanks, so this equals encoding words in place.
 
 Bands: a measure is accepted within ``spread`` times the interquartile range
 beyond its quartiles, and always within the absolute ``slack`` of the median.
+Entropy is held in bits against texts of like length (within a power of two of
+tokens), for its share of log2(n) falls as texts grow: over all lengths no band
+of it could reject. A class of length with too few documents in the corpus has
+no band of entropy.
 The quartiles are taken over all documents that pass the base rules; at most
 26**2 languages (two letters), the scripts and the corpus have a band, so the table of
 bands that is sent to the executors has a proven bound.
@@ -163,15 +167,30 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def _bits() -> Column:
+    """Entropy in bits; the column of that name is its share of log2(n)."""
+    return F.col("entropy") * F.log2(F.greatest("n_tokens", F.lit(2)))
+
+
+def _length_class() -> Column:
+    """Texts of like length: the number of tokens, to the power of two below."""
+    return F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("string")
+
+
 def bands(measured: DataFrame, spread: float = SPREAD, slack: dict[str, float] | None = None) -> list[tuple]:
     """(group, measure, low, high) from the quartiles of all documents that pass the base rules: of each language, script and of ALL."""
     slack = slack or SLACK
     fine = measured.where(~base_failed() & (F.col("n_tokens") >= MIN_TOKENS))
     quartiles = [F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(2000)).alias(m) for m in MEASURES]
     out = []
-    fine = fine.select(F.explode(F.array_distinct(F.array("grp", "script", F.lit(ALL)))).alias("grp"), *MEASURES)
+    groups = F.array_distinct(F.array("grp", "script", F.lit(ALL)))
+    by_length = F.transform(groups, lambda g: F.concat_ws("/", g, _length_class()))
+    plain = fine.select(F.explode(groups).alias("grp"), *[F.col(m) if m != "entropy" else F.lit(None).cast("double").alias(m) for m in MEASURES])
+    fine = plain.union(fine.select(F.explode(by_length).alias("grp"), *[_bits().alias(m) if m == "entropy" else F.lit(None).cast("double").alias(m) for m in MEASURES]))
     for row in fine.groupBy("grp").agg(F.count("*").alias("n"), *quartiles).where(f"n >= {MIN_GROUP}").collect():
         for m in MEASURES:
+            if row[m] is None:
+                continue
             q1, mid, q3 = row[m]
             reach = spread * (q3 - q1)
             out.append((row.grp, m, min(q1 - reach, mid - slack[m]), max(q3 + reach, mid + slack[m])))
@@ -232,8 +251,12 @@ def verdicts(table: DataFrame, found: list[tuple]) -> DataFrame:
             continue
         low = F.create_map(*chain.from_iterable((F.lit(g), F.lit(float(v[0]))) for g, v in of.items()))
         high = F.create_map(*chain.from_iterable((F.lit(g), F.lit(float(v[1]))) for g, v in of.items()))
-        of_row = lambda limit: F.coalesce(*[F.try_element_at(limit, g) for g in (F.col("grp"), F.col("script"), F.lit(ALL))])
-        outside = (F.col(m) < of_row(low)) | (F.col(m) > of_row(high))
+        groups = [F.col("grp"), F.col("script"), F.lit(ALL)]
+        if m == "entropy":
+            groups = [F.concat_ws("/", g, _length_class()) for g in groups]
+        of_row = lambda limit, groups=groups: F.coalesce(*[F.try_element_at(limit, g) for g in groups])
+        value = _bits() if m == "entropy" else F.col(m)
+        outside = (value < of_row(low)) | (value > of_row(high))
         reasons.append(F.when((F.col("n_tokens") >= MIN_TOKENS) & outside, F.lit(m)))
     why = F.filter(F.array(*reasons), lambda x: x.isNotNull()) if reasons else F.array().cast("array<string>")
     out = table.withColumn("base_failed", base_failed()).withColumn("outside", why)

@@ -117,6 +117,15 @@ def ordinary(n, seed, size=300):
     return vocab, [(i, " ".join(rng.choice(vocab) for _ in range(size)), "en") for i in range(n)]
 
 
+def test_entropy_alone_rejects(spark):
+    rng = random.Random(5)
+    vocab, rows = ordinary(120, 4)
+    few = " ".join(rng.choice(vocab[:20]) for _ in range(300))
+    got = {r.doc_id: r for r in quality.assess(spark.createDataFrame([*rows, (-1, few, "en")], "doc_id long, text string, lang string")).collect()}
+    assert not got[-1].base_failed and not got[-1].kept and got[-1].outside == "entropy"
+    assert all(got[i].kept for i in range(120))
+
+
 def test_rare_languages_have_the_band_of_script_or_corpus(spark):
     rng = random.Random(6)
     _, rows = ordinary(120, 7)
