@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
-#: Offsets of a set made of one empty text, for callers that need a fixed seed.
-SEED = 17
+#: Spark's own setting for removing a job's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: A sieve has at most 2**SIEVE rows of 64 bits, whatever it is made from.
+SIEVE = 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,7 +39,15 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and lost executors cost no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    if before is not None:
+        # once the table is written nothing reads the shuffles behind it: their files go with the job, not with some later collection
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestack_path = path
     return out
@@ -53,6 +63,36 @@ def drop(*tables: DataFrame) -> None:
             target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def _place(key: Column) -> tuple[Column, Column]:
+    """Row and bit of a 64-bit hash in a sieve."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(key, SIEVE).bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    return key.bitwiseAND(F.lit((1 << SIEVE) - 1).cast("long")), bit
+
+
+def _sieve_of(keys: DataFrame, key: str) -> DataFrame:
+    row, bit = _place(F.col(key))
+    return F.broadcast(keys.groupBy(row.alias("__row")).agg(F.bit_or(bit).alias("__bits")))
+
+
+def sieved(df: DataFrame, key: str, keys: DataFrame, of: str) -> DataFrame:
+    """Rows of ``df`` whose hash ``key`` may be among ``keys.of``; none that is is lost.
+
+    What is broadcast is a bit set of fixed size, so the bound holds at any
+    size of ``keys``: with very many of them it merely lets more rows through,
+    and the join that follows decides.
+    """
+    row, bit = _place(F.col(key))
+    made = df.withColumn("__row", row).join(_sieve_of(keys, of), "__row")
+    return made.where(F.col("__bits").bitwiseAND(bit) != 0).drop("__row", "__bits")
+
+
+def marked(df: DataFrame, key: str, keys: DataFrame, of: str, name: str) -> DataFrame:
+    """All rows of ``df`` with a column ``name``: whether :func:`sieved` would let them through."""
+    row, bit = _place(F.col(key))
+    made = df.withColumn("__row", row).join(_sieve_of(keys, of), "__row", "left")
+    return made.withColumn(name, F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))).drop("__row", "__bits")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
