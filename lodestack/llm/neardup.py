@@ -7,24 +7,30 @@ independent hashes. Drawing stops as soon as every slot holds a value below the
 next rank, which later ranks can't improve.
 
 Links: equal sets become one class first. Classes that share a band of their
-signatures are candidates; signatures that agree too little are put aside
-(more than four standard deviations below the threshold), the rest is confirmed on full
-sets. Three passes keep big buckets cheap without losing a link:
+signatures are candidates; at a similarity of 0.8 thirty bands of four lose a
+pair in 10 million. Two passes keep big buckets cheap:
 
 1. each class of a bucket against the bucket's hub, the class that shares most
    buckets (of a family of near copies that is the text they come from);
-2. of buckets that still hold several components, each class against its few
-   likeliest partners of other components;
-3. all remaining pairs of different components within a bucket, compared block
-   by block on signatures.
+2. of buckets that still hold several components: the classes of a bucket that
+   are outside its largest component meet all its classes, in blocks. The
+   block holds the full sets: a pair of different components is tested on them
+   at once, and a pair found similar makes one component of two, so a block
+   hands out one link less than it has components and never a list of pairs.
 
-Pairs inside one component need no test, so a family of any size costs about
-as many confirmations as it has members. Components come from the distributed
-union-find. A row is identified by doc_id and the hash of its text.
+Signatures that agree in too small a share are put aside before the sets are
+compared: at 0.8 the share of equal slots varies by 0.0365 at most (120 slots,
+independent ones; SuperMinHash varies less), LEAST_AGREEMENT lies four of these
+below. That loses about one pair in 30,000 of those exactly at 0.8, and less
+above; such a pair is lost only if no third text links its ends.
+
+Components come from the distributed union-find. A row is identified by doc_id
+and the hash of its text.
 
 Null text counts as empty; a text without words links with nothing. Rows with
 a null doc_id take part; their component may have a null id if no member has
-one. Repeated rows and ties fall in one class. Extra columns are ignored.
+one. Repeated rows and ties fall in one class. An empty table gives an empty
+result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,16 +45,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lodestack.llm import textkit
-from lodestack.llm.common import cut, drop, quoted, require
+from lodestack.llm.common import cut, drop, quoted, require, sieved
 from lodestack.llm.unionfind import components
 
-SLOTS = 360
-#: Bands of ROWS slots; the slots beyond serve the estimate alone.
+SLOTS = 120
+#: Bands of ROWS slots.
 BANDS, ROWS = 30, 4
-#: Signatures that agree in a smaller share are no candidates: at J = 0.8 the share has a standard deviation of 0.021 at most.
-LEAST_AGREEMENT = 0.71
-BLOCK = 512
-PARTNERS = 1
+#: Signatures that agree in a smaller share are not compared further.
+LEAST_AGREEMENT = 0.65
+#: Rows of a block; two blocks and their sets meet in a task's memory.
+BLOCK = 256
 _U = np.uint64
 _SIGNED = "doc_id long, th long, n long, k1 long, k2 long, sig binary, bands array<long>"
 
@@ -106,12 +112,24 @@ def _signer(width: int):
 def _setter(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [textkit.shingle_set(t.as_py() or b"", width).view(np.int64) for t in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "elements"])
+            sets = [textkit.shingle_set(t.as_py() or b"", width).astype("<u8").tobytes() for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "elements"])
 
     return run
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x) or 100 * len(x) < percent * len(y):
+        return False
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    common = int((y[at] == x).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
 @F.pandas_udf(DoubleType())
 def agreement(a, b):  # noqa: ANN001, ANN201
     """Share of equal slots of two signatures."""
@@ -122,79 +140,111 @@ def agreement(a, b):  # noqa: ANN001, ANN201
     return pd.Series((x == y).mean(axis=1)) if len(a) else pd.Series([], dtype=float)
 
 
-def _across(size_num: int, partners: int | None):
-    """Pairs of different components within each group of rows (sorted by group); of each row the likeliest ``partners`` only, if given."""
-
-    def pairs(node, comp, n, blk, split, sig, band):  # noqa: ANN001, ANN202
-        out = []
-        banded = sig[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
-        for i in range(len(node) - 1):
-            other = slice(i + 1, None)
-            may = (comp[other] != comp[i]) & (100 * np.minimum(n[other], n[i]) >= size_num * np.maximum(n[other], n[i]))
-            if split:
-                may &= blk[other] != blk[i]
-            at = np.flatnonzero(may)
-            if not len(at):
-                continue
-            at += i + 1
-            near = (sig[at] == sig[i]).mean(axis=1)
-            good = near >= LEAST_AGREEMENT
-            at, near = at[good], near[good]
-            # a pair that shares several buckets is told by the first of its bands only
-            first = (banded[at] == banded[i]).all(axis=2).argmax(axis=1) == band
-            at, near = at[first], near[first]
-            if partners is not None and len(at) > partners:
-                at = at[np.argsort(-near, kind="stable")[:partners]]
-            out += [(node[i], node[k]) for k in at]
-        return out
+def _pairs(percent: int):
+    """Links (a, b) of which the full sets (columns x, y) are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [similar(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8"), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            kept = batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(kept.columns, names=["a", "b"])
+
+    return run
+
+
+def block_links(node: list, comp: list, n: np.ndarray, outer: np.ndarray, inner: np.ndarray, sig: np.ndarray, sets: list, percent: int) -> list[tuple[int, int]]:
+    """Links that join the components of a block: each row of ``outer`` with the rows of ``inner``; a pair once."""
+    up = {c: c for c in comp}
+
+    def find(c):  # noqa: ANN001, ANN202
+        while up[c] != c:
+            up[c] = up[up[c]]
+            c = up[c]
+        return c
+
+    out = []
+    both = {int(i) for i in outer} & {int(i) for i in inner}
+    for i in outer.tolist():
+        at = inner[inner > i] if both and i in both else inner
+        at = at[(100 * np.minimum(n[at], n[i]) >= percent * np.maximum(n[at], n[i]))]
+        if not len(at):
+            continue
+        near = (sig[at] == sig[i]).mean(axis=1)
+        # the likeliest first: once joined, a component needs no more tests
+        for k in at[np.argsort(-near, kind="stable")][: int((near >= LEAST_AGREEMENT).sum())].tolist():
+            a, b = find(comp[i]), find(comp[k])
+            if a != b and similar(sets(i), sets(k), percent):
+                up[a] = b
+                out.append((max(node[i], node[k]), min(node[i], node[k])))
+    return out
+
+
+def _blocks(percent: int):
+    """Rows sorted by (bucket, bi, bj); a block's rows may go on in the next batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.Table | None = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            table = table if kept is None else pa.concat_tables([kept, table])
-            kept, out = _groups(table, last=False)
-            yield _links(out)
+            kept, out = groups(table if kept is None else pa.concat_tables([kept, table]), last=False)
+            yield told(out)
         if kept is not None:
-            yield _links(_groups(kept, last=True)[1])
+            yield told(groups(kept, last=True)[1])
 
-    def _links(out):  # noqa: ANN001, ANN202
-        return pa.RecordBatch.from_arrays([pa.array([max(p) for p in out], pa.int64()), pa.array([min(p) for p in out], pa.int64())], names=["a", "b"])
+    def told(out: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
 
-    def _groups(table: pa.Table, last: bool):  # noqa: ANN202
+    def groups(table: pa.Table, last: bool) -> tuple[pa.Table, list[tuple[int, int]]]:
         if not table.num_rows:
             return table, []
         col = lambda c: table.column(c).to_numpy()
         key, bi, bj = col("bucket"), col("bi"), col("bj")
-        edge = np.flatnonzero((key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])) + 1
-        ends = [*edge, *([len(key)] if last else [])]
+        ends = (np.flatnonzero((key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])) + 1).tolist() + ([len(key)] if last else [])
         begin, out = 0, []
-        if ends:
-            done = table.slice(0, int(ends[-1])).combine_chunks()
-            node, comp, n, blk, band = (done.column(c).to_numpy() for c in ("node", "comp", "n", "blk", "band"))
-            sig = np.frombuffer(b"".join(done.column("sig").to_pylist()), "<u2").reshape(len(node), -1)
-            for end in ends:
-                if end - begin > 1:
-                    s = slice(begin, end)
-                    out += pairs(node[s], comp[s], n[s], blk[s], bi[begin] != bj[begin], sig[s], band[begin])
-                begin = int(end)
+        for end in ends:
+            if end - begin > 1:
+                part = table.slice(begin, end - begin)
+                node, comp = part.column("node").to_pylist(), part.column("comp").to_pylist()
+                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), "<u2").reshape(len(node), -1)
+                role = part.column("role").to_numpy()
+                elements = part.column("elements")
+                sets = lambda i, e=elements: np.frombuffer(e[i].as_py(), "<u8")
+                one_block = bi[begin] == bj[begin]
+                outer = np.flatnonzero(role == 0)
+                inner = outer if one_block else np.flatnonzero(role == 1)
+                out += block_links(node, comp, part.column("n").to_numpy(), outer, inner, sig, sets, percent)
+            begin = end
         return table.slice(begin), out
 
     return run
 
 
-def _verified(links: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) of which the full sets have 100 * intersection >= percent * union."""
-    links = cut(links.distinct(), "links")
-    wanted = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
-    named = wanted.join(nodes.select("node", "doc_id", "th"), "node")
-    found = texts.join(named, texts.doc_id.eqNullSafe(named.doc_id) & (texts.th == named.th)).select("node", "text").dropDuplicates(["node"])
-    sets = cut(found.mapInArrow(_setter(width), "node long, elements array<long>"), "sets")
-    both = links.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    kept = cut(both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"), "kept")
-    drop(links, sets)
-    return kept
+def _sets_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(node, elements) of the wanted nodes, made again from the one text that stands for each."""
+    named = cut(nodes.join(wanted, "node", "left_semi").select("node", "doc_id", "th"), "named")
+    some = sieved(texts, "th", named, "th")
+    found = some.join(named, some.doc_id.eqNullSafe(named.doc_id) & (some.th == named.th)).select("node", "text").dropDuplicates(["node"])
+    return cut(found.mapInArrow(_setter(width), "node long, elements binary"), "sets")
+
+
+def _open_blocks(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """bucket, bi, bj, role, node, comp of the buckets that hold several components.
+
+    The rows outside a bucket's largest component are dealt in blocks 0..m-1,
+    those inside in blocks m..m+g-1. Blocks (i, j), i <= j, with i < m meet:
+    rows of i have role 0 and those of j role 1.
+    """
+    placed = shared.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("comp"))
+    held = placed.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
+    sizes = held.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("big"), F.sum("c").alias("members"), F.count("*").alias("comps")).where("comps > 1")
+    rows = placed.join(sizes.select("bucket", F.col("big.comp").alias("largest"), F.col("big.c").alias("g"), (F.col("members") - F.col("big.c")).alias("m")), "bucket")
+    nm, ng = F.ceil(F.col("m") / BLOCK).cast("int"), F.ceil(F.col("g") / BLOCK).cast("int")
+    inside = F.col("comp") == F.col("largest")
+    own = F.when(inside, F.col("nm") + F.pmod(F.xxhash64("node"), F.col("ng")).cast("int")).otherwise(F.pmod(F.xxhash64("node"), F.col("nm")).cast("int"))
+    rows = rows.withColumn("nm", nm).withColumn("ng", ng).withColumn("own", own)
+    others = F.when(inside, F.sequence(F.lit(0), F.col("nm") - 1)).otherwise(F.sequence(F.lit(0), F.col("nm") + F.col("ng") - 1))
+    met = rows.withColumn("other", F.explode(others))
+    return met.select("bucket", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("role"), "node", "comp")
 
 
 def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -206,47 +256,34 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th", "n", "sig", "bands")).alias("r")
     nodes = cut(full.groupBy("k1", "k2").agg(first).select("k1", "k2", "r.doc_id", "r.th", "r.n", "r.sig", "r.bands").withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    banded = nodes.select("node", F.posexplode("bands").alias("band", "key")).select("node", "band", F.xxhash64("band", "key").alias("bucket"))
-    sizes = banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    shared = cut(banded.join(sizes, "bucket"), "buckets")
-    fame = shared.groupBy("node").agg(F.sum("members").alias("fame"))
-    ranked = shared.join(fame, "node")
-    hubs = ranked.groupBy("bucket").agg(F.max_by("node", F.struct("fame", -F.col("node"))).alias("hub"))
-    slim = nodes.select("node", "n", "sig")
+    banded = nodes.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
+    ends = banded.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    wanted = cut(ends.select("bucket"), "buckets")
+    shared = cut(sieved(banded, "bucket", wanted, "bucket").join(wanted, "bucket").select("bucket", "node"), "shared")
+    fame = shared.groupBy("node").agg(F.count("*").alias("fame"))
+    hubs = shared.join(fame, "node").groupBy("bucket").agg(F.max_by("node", F.struct("fame", -F.col("node"))).alias("hub"))
     spokes = shared.join(hubs, "bucket").where("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
-    sided = spokes.join(slim.toDF("a", "na", "sa"), "a").join(slim.toDF("b", "nb", "sb"), "b").where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-    good = [_verified(sided.where(agreement("sa", "sb") >= LEAST_AGREEMENT).select("a", "b"), nodes, texts, width, percent)]
-    for partners in (PARTNERS, None):
-        roots = components(_all(good))
-        rest = _open_buckets(shared, slim, roots)
-        more = rest.mapInArrow(_across(percent, partners), "a long, b long")
-        good.append(_verified(more, nodes, texts, width, percent))
-    roots = cut(components(_all(good)), "roots")
-    placed = nodes.join(roots, "node", "left").select("k1", "k2", "doc_id", F.coalesce("root", "node").alias("root"))
-    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_class = placed.join(least, "root").select("k1", "k2", "component_id")
-    linked = full.join(of_class, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "th")
+    slim = nodes.select("node", "n", "sig")
+    sided = spokes.join(slim.toDF("a", "na", "sa"), "a").join(slim.toDF("b", "nb", "sb"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    links = cut(sided.where(agreement("sa", "sb") >= LEAST_AGREEMENT).select("a", "b"), "links")
+    # sets of all classes that share a bucket serve both passes
+    sets = _sets_of(shared.select("node").distinct(), nodes, texts, width)
+    both = links.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    found = cut(both.mapInArrow(_pairs(percent), "a long, b long"), "kept")
+    roots = cut(components(found), "roots")
+    met = _open_blocks(shared, roots).join(slim, "node").join(sets, "node").select("bucket", "bi", "bj", "role", "node", "comp", "n", "sig", "elements")
+    more = cut(met.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj", "role", "node").mapInArrow(_blocks(percent), "a long, b long"), "more")
+    if not more.isEmpty():
+        before, roots = roots, cut(components(found.union(more)), "roots")
+        drop(before)
+    drop(wanted, shared, links, sets, found, more)
+    placed = nodes.join(roots, "node", "left").select("k1", "k2", "doc_id", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("linked"))
+    # a class without a link is its own component; only the others meet by root
+    least = placed.where("linked").groupBy("root").agg(F.min("doc_id").alias("least_id"))
+    of_class = placed.join(least, "root", "left").select("k1", "k2", F.when(F.col("linked"), F.col("least_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    joined = full.join(of_class, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "th")
     alone = table.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "th")
-    return linked.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "th")
-
-
-def _all(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.union(t)
-    return out
-
-
-def _open_buckets(shared: DataFrame, slim: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold several components, dealt in pairs of blocks of about BLOCK rows."""
-    placed = shared.join(roots, "node", "left").select("bucket", "band", "node", "members", F.coalesce("root", "node").alias("comp"))
-    still = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    rows = placed.join(still, "bucket", "left_semi").join(slim, "node")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = rows.withColumn("nb", blocks).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select("bucket", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "node", "comp", "n", "blk", "band", "sig")
-    return rows.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
+    return joined.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "th")
 
 
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
