@@ -270,11 +270,50 @@ def test_passages_of_one_seed(spark):
     assert pairs == {frozenset((i, i + 1)) for i in range(0, 120, 2)}
 
 
+@pytest.mark.parametrize(("size", "edits"), [(60, 6), (60, 9), (120, 18)])
+def test_recall_of_edited_passages(spark, size, edits):
+    """Passages with a tenth or more of their words replaced, between texts that share nothing else."""
+    rng = random.Random(size + edits)
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(4))
+    noise = lambda n: [word() for _ in range(n)]
+    texts = []
+    for _ in range(80):
+        x = noise(size)
+        y = list(x)
+        for k in rng.sample(range(size), edits):
+            y[k] = word()
+        texts += [" ".join(noise(50) + x + noise(50)), " ".join(noise(50) + y + noise(50))]
+    pairs = {frozenset((r.doc_id, r.other_id)) for r in chaining.passages(frame(spark, texts)).collect()}
+    want = {frozenset((i, i + 1)) for i in range(0, len(texts), 2)}
+    assert pairs <= want and len(pairs & want) >= 0.9 * len(want)
+
+
+def test_long_passages_around_one_meeting(spark):
+    """Two texts share a long passage both halves of which an earlier text holds too, so they meet at the seam only."""
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(4))
+    noise = lambda n: [word() for _ in range(n)]
+    texts, want = [], {}
+    for _ in range(10):
+        x, y = noise(150), noise(150)
+        for half in (x, y):
+            texts += [" ".join(noise(20) + half + noise(20)) for _ in range(6)]
+        n = len(texts)
+        texts += [" ".join(noise(20) + x + y + noise(20)) for _ in range(2)]
+        want[frozenset((n, n + 1))] = 300
+    longest = {}
+    for r in chaining.passages(frame(spark, texts)).collect():
+        key = frozenset((r.doc_id, r.other_id))
+        longest[key] = max(longest.get(key, 0), r.end - r.start)
+    assert all(longest.get(k, 0) >= v for k, v in want.items())
+
+
 def test_seed_density():
     rng = random.Random(1)
     data = " ".join(f"w{rng.randrange(10**6)}" for _ in range(2000)).encode()
     h, at = chaining.seeds(data)
-    assert np.diff(at).max() <= chaining.WINDOW and 0.08 < len(at) / 2000 < 0.16
+    density = 2 / (chaining.WINDOW + 1)
+    assert np.diff(at).max() <= chaining.WINDOW and 0.7 * density < len(at) / 2000 < 1.4 * density
     assert (textkit.windows(textkit.word_hashes(data), chaining.K)[at].view(np.int64) == h).all()
 
 
