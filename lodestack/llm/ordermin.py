@@ -1,15 +1,17 @@
 """Document fingerprints by order min-hash, which feels edit distance.
 
 Every character k-mer of a text is hashed together with the number of its
-earlier occurrences. The hash's leading bits deal the k-mers to CELLS cells;
-each cell keeps its PICK least k-mers, puts them back in the order of the text
-and hashes that tuple. Two texts agree in a cell only if the same k-mers are
-least and stand in the same order, so moves count as well as replacements.
-(One permutation dealt in cells stands in for independent permutations.)
-
-Likeness: equal cells among the cells that either text fills; 1 for equal
-fingerprints, so also for two texts without a k-mer. A text shorter than a
-k-mer is one k-mer; an empty text fills no cell.
+earlier occurrences. CELLS evenly spaced numbers are as many rotations of one
+permutation: for each, the PICK k-mers whose hashes follow it (round the end of
+the range if need be) are the least, so every cell is filled, of a short text
+too. They are put back in the order of the text and their tuple is hashed. Two
+texts agree in a cell only if the same k-mers are least and stand in the same
+order, so moves count as well as replacements. (Rotations stand in for
+independent permutations, which cost CELLS times as much.)
+
+Likeness: the share of equal cells; 1 for equal fingerprints, so also for two
+texts without a k-mer. A text shorter than a k-mer is one k-mer; an empty text
+fills no cell.
 
 Null text counts as empty. Order of documents: doc_id falling, null last, then
 the hash of the text; repeated rows follow each other. Extra columns are
@@ -73,26 +75,20 @@ def fingerprint(text: str) -> np.ndarray:
     if not len(h):
         return out
     ordered = np.sort(h)
-    ends = np.concatenate(([0], np.searchsorted(ordered, _BOUNDS), [len(h)]))
-    pick = ends[:-1, None] + np.arange(PICK)
-    held = pick < ends[1:, None]
-    values = np.where(held, ordered[np.minimum(pick, len(h) - 1)], _U(0))
-    wanted = values[held]
+    starts = np.concatenate(([0], np.searchsorted(ordered, _BOUNDS)))
+    values = ordered[(starts[:, None] + np.arange(PICK)) % len(h)]
+    wanted = np.unique(values)
     at = np.searchsorted(wanted, h)
     at[at == len(wanted)] = 0
     hits = np.flatnonzero(wanted[at] == h)
     place = np.zeros(len(wanted), np.int64)
     place[at[hits]] = hits
-    places = np.full(values.shape, np.iinfo(np.int64).max)
-    places[held] = place
-    order = np.argsort(places, axis=1, kind="stable")
+    order = np.argsort(place[np.searchsorted(wanted, values)], axis=1, kind="stable")
     values = np.take_along_axis(values, order, axis=1)
     key = np.zeros(CELLS, _U)
     for j in range(PICK):
         key = textkit.mix(key * _U(31) + values[:, j] + _U(1))
-    filled = held[:, 0]
-    out[filled] = ((key[filled] >> _U(48)) % _U(65535) + _U(1)).astype(np.uint16)
-    return out
+    return ((key >> _U(48)) % _U(65535) + _U(1)).astype(np.uint16)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
