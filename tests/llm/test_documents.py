@@ -288,3 +288,59 @@ def test_word_hashes_agree_with_words():
     h = textkit.word_hashes(text.encode())
     assert len(h) == len(words(text)) and h[-1] == h[-2] and len(set(h.tolist())) == len(h) - 1
     assert textkit.shingle_set(b"a b", 4).size == 1 and textkit.shingle_set(b" ", 4).size == 0
+
+
+def test_packing_is_the_same_however_rows_are_dealt(spark, documents):
+    df = documents.union(documents.where("doc_id < 20")).union(documents.where("doc_id < 5"))
+    columns = ["shard", "bin", "capacity", "fill", "slot", "at", "doc_id", "piece", "copy", "length"]
+    a, b = ({tuple(r) for r in packing.pack(x, shard_rows=60).select(columns).collect()} for x in (df, df.repartition(7)))
+    assert a == b
+
+
+def test_priced_opening():
+    rng = random.Random(3)
+    for _ in range(30):
+        lengths = sorted((rng.randrange(1, 90) for _ in range(rng.randrange(1, 9))), reverse=True)
+        where, sizes, fill = packing.pack_shard(lengths, (32, 64, 96), 4)
+        held = [sum(n for n, w in zip(lengths, where, strict=True) if w == b) for b in range(len(fill))]
+        assert held == fill and all(f <= s for f, s in zip(fill, sizes, strict=True))
+
+        def cheapest(rest, bins):  # every way to put the pieces into bins
+            if not rest:
+                return sum(min(c for c in (32, 64, 96) if c >= b) + 4 for b in bins)
+            found = [cheapest(rest[1:], [*bins, rest[0]])]
+            for i, b in enumerate(bins):
+                if b + rest[0] <= 96:
+                    found.append(cheapest(rest[1:], [*bins[:i], b + rest[0], *bins[i + 1 :]]))
+            return min(found)
+
+        best = cheapest(lengths, [])
+        assert best <= sum(sizes) + 4 * len(sizes) <= 1.25 * best
+    # two of 40 fill a bin of 96 worse than one of 40 fills 64 with a 20
+    assert packing.least_cost(60, [30, 60], {30: 1, 60: 2}, (64, 96), 4) == 96
+
+
+def test_sequences(spark, documents):
+    packed = packing.pack(documents, capacities=(64, 256), shard_rows=50)
+    seq = packing.sequences(documents, packed, top=256).collect()
+    assert len(seq) == packed.select("shard", "bin").distinct().count()
+    assert all(len(r.tokens) == r.fill == len(r.segments) and max(r.segments) + 1 == len(r.doc_ids) for r in seq)
+
+
+def test_short_texts_fill_every_cell_and_feel_order():
+    a = "one two three four five six seven eight nine ten"
+    x, y, z = (ordermin.fingerprint(t) for t in (a, a[:-3] + "xyz", a[25:] + a[:25]))
+    assert (x > 0).all() and 0.5 < ordermin.likeness(x, y) < 1 and ordermin.likeness(x, z) < ordermin.likeness(x, y)
+    assert ordermin.likeness(ordermin.fingerprint("ab"), ordermin.fingerprint("ab")) == 1 and not ordermin.fingerprint("").any()
+
+
+def test_mix_of_ties_and_many_sources(spark, documents, monkeypatch):
+    rows = [(i % 3, " ".join(["w"] * 4 + [str(i)]), f"s{i % 40}") for i in range(400)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    told = lambda d: sorted(tuple(r) for r in mixing.plan(d).collect())
+    want = told(df)
+    assert told(df.repartition(9)) == want
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert told(df) == want
+    monkeypatch.setattr(mixing, "GROUP", 3)
+    assert told(df) == want
