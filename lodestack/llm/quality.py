@@ -52,8 +52,8 @@ MIN_TOKENS = 30
 MIN_GROUP = 40
 #: The group of all documents.
 ALL = "*"
-SPREAD = 6.0
-SLACK = {"chars_per_token": 0.9, "byte_chars_per_token": 0.9, "byte_share": 0.10, "entropy": 1.2}
+SPREAD = 3.0
+SLACK = {"chars_per_token": 0.45, "byte_chars_per_token": 0.45, "byte_share": 0.05, "entropy": 0.6}
 MEASURES = tuple(SLACK)
 SCRIPTS = (("han", r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}]"), ("kana", r"[\x{3040}-\x{30FF}]"), ("hangul", r"[\x{AC00}-\x{D7AF}]"), ("arabic", r"[\x{0600}-\x{06FF}]"), ("hebrew", r"[\x{0590}-\x{05FF}]"), ("devanagari", r"[\x{0900}-\x{097F}]"), ("thai", r"[\x{0E00}-\x{0E7F}]"), ("greek", r"[\x{0370}-\x{03FF}]"), ("cyrillic", r"[\x{0400}-\x{04FF}]"))
 
