@@ -25,8 +25,8 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = sf_table(spark, sf_dir, "documents")
-    return toxicity.score(docs, toxicity.fit(docs, sf_table(spark, sf_dir, "labels")))
+    docs, labels = sf_table(spark, sf_dir, "documents"), sf_table(spark, sf_dir, "labels")
+    return toxicity.score(docs, toxicity.fit(docs, labels), labels)
 
 
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,10 @@ logistic layer turns these into a score. Training reads at most
 hash of their id (a documented bound; only their word numbers reach the
 driver); rows whose crc32(doc_id) mod 5 is 0 are never read. Labels, language,
 source and doc_id are no inputs of a score. The score is shifted to the share
-of toxic rows among all labelled training rows. Thresholds are calibrated for
-each language on a part of the sample that the weights were not fitted on.
+of toxic rows among all labelled training rows. Thresholds are calibrated for each language on
+all labelled training rows that the sample left out: their scores meet as
+histograms by language and label, and the edge of best F1 is taken; languages
+of fewer than LEAST_TOXIC toxic rows take that of all rows together.
 
 Null and empty texts get the score of a text without words. Without a label of
 each kind every score is the share of toxic rows (0.5 if there is none).
@@ -27,12 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm import textkit
-from lodestack.llm.common import require
+from lodestack.llm.common import cut, require
 
 BITS, DIM = 17, 12
 WIDTHS, FILTERS = (1, 2, 3), 10
 MAX_POSITIVE, MAX_NEGATIVE = 2000, 3000
 EPOCHS, BATCH, RATE = 8, 32, 0.02
+#: Bins of a histogram of scores, and toxic rows that a language needs for a threshold of its own.
+BINS, LEAST_TOXIC = 1000, 10
 PATIENCE = 2
 SEED = 11
 #: Bytes of a word's stem; inflected forms share its embedding.
@@ -64,7 +68,8 @@ class TextCNN:
     out: np.ndarray
     out_bias: float = 0.0
     shift: float = 0.0
-    thresholds: dict[str, float] = field(default_factory=dict)
+    #: Ids of the sample, at most MAX_POSITIVE + MAX_NEGATIVE.
+    fitted: list = field(default_factory=list)
 
     @classmethod
     def fresh(cls, seed: int = SEED) -> TextCNN:
@@ -141,18 +146,6 @@ class TextCNN:
             self.table[at] -= rate * grad / np.sqrt(seen[at])
 
 
-def _warm(model: TextCNN, texts: list[np.ndarray], labels: np.ndarray) -> None:
-    """The first dimension of each word starts at its smoothed log odds among the toxic rows, so that pooling finds the telling words at once."""
-    held = [np.zeros(1 << BITS, np.float32) for _ in range(2)]
-    for ids, y in zip(texts, labels, strict=True):
-        held[int(y)][np.unique(ids)] += 1
-    n = [max(1, int((labels == k).sum())) for k in range(2)]
-    odds = np.log((held[1] + 0.5) / (n[1] + 1)) - np.log((held[0] + 0.5) / (n[0] + 1))
-    odds[held[0] + held[1] == 0] = 0
-    weight = np.minimum(1, (held[0] + held[1]) / 5)
-    model.table[:, 0] += np.clip(odds * weight, -4, 4) / 4
-
-
 def auc(scores: np.ndarray, labels: np.ndarray) -> float:
     order = np.argsort(scores, kind="stable")
     ranks = np.empty(len(scores))
@@ -162,9 +155,10 @@ def auc(scores: np.ndarray, labels: np.ndarray) -> float:
     return float((ranks[pos].sum() - n * (n + 1) / 2) / max(1, n * (len(scores) - n)))
 
 
-def train(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None], share: float, seed: int = SEED) -> TextCNN:
-    """Fit on four fifths of the sample, stop early and calibrate on the rest."""
+def train(texts: list[np.ndarray], labels: np.ndarray, share: float, fitted: list | None = None, seed: int = SEED) -> TextCNN:
+    """Fit on four fifths of the sample, stop early by the rest."""
     model = TextCNN.fresh(seed)
+    model.fitted = fitted or []
     rng = np.random.default_rng(seed)
     share = min(max(share, 1e-4), 1 - 1e-4)
     if not len(labels) or len(set(labels.tolist())) < 2:
@@ -175,7 +169,6 @@ def train(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None],
     fit, check = np.flatnonzero(~held), np.flatnonzero(held)
     if len(set(labels[fit].tolist())) < 2 or len(set(labels[check].tolist())) < 2:
         fit = check = np.arange(len(labels))
-    _warm(model, [texts[i] for i in fit], labels[fit])
     moments: dict = {}
     best, kept, bad = np.inf, None, 0
     for epoch in range(EPOCHS):
@@ -194,22 +187,20 @@ def train(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None],
         model.table, model.filters, model.bias, model.out, model.out_bias = kept
     mean = float(labels.mean())
     model.shift = float(np.log(share / (1 - share)) - np.log(mean / (1 - mean)))
-    scores = np.array([model.score(texts[i]) for i in check])
-    for lang in {langs[i] for i in check}:
-        own = np.array([langs[i] == lang for i in check])
-        if lang is not None and labels[check][own].sum() >= 10:
-            model.thresholds[lang] = _threshold(scores[own], labels[check][own])
     return model
 
 
-def _threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The threshold of the best F1; halfway to the next score below."""
-    order = np.argsort(-scores, kind="stable")
-    hit = np.cumsum(labels[order])
-    f1 = 2 * hit / (np.arange(1, len(order) + 1) + labels.sum())
-    k = int(f1.argmax())
-    low = scores[order[k + 1]] if k + 1 < len(order) else 0.0
-    return float((scores[order[k]] + low) / 2)
+def best_threshold(bins: dict[int, tuple[int, int]]) -> float:
+    """The edge of best F1 of a histogram: bin -> (clean, toxic)."""
+    toxic = sum(n[1] for n in bins.values())
+    hit = told = 0
+    best, edge = -1.0, 0.5
+    for k in sorted(bins, reverse=True):
+        told, hit = told + sum(bins[k]), hit + bins[k][1]
+        f1 = 2 * hit / (told + toxic)
+        if f1 > best:
+            best, edge = f1, k / BINS
+    return edge
 
 
 def fold(doc_id: Column) -> Column:
@@ -224,23 +215,48 @@ def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> TextCNN:
     """Train on a bounded sample: its ids are chosen from the labels alone and sent to the executors (at most max_positive + max_negative rows)."""
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    known = _known(labels)
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64(F.col("doc_id").cast("string"), F.lit(SEED)), F.col("doc_id")]
     part = lambda k, n: known.where(F.col("toxic") == k).orderBy(*order).limit(n)
     sample = part(1, max_positive).union(part(0, max_negative)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    ids = sorted(r.doc_id for r in sample.select("doc_id").collect())
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     chosen = docs.select("doc_id", lang.alias("lang"), "text").join(F.broadcast(sample), "doc_id").select("toxic", "lang", "text")
-    rows = chosen.mapInArrow(_numbers, "toxic int, lang string, ids array<int>").toArrow()
+    # rows of one id beyond the bound are left out, whatever the table repeats
+    rows = chosen.mapInArrow(_numbers, "toxic int, lang string, ids array<int>").limit(max_positive + max_negative).toArrow()
     # in an order that no schedule of tasks can change
     got = sorted(zip(rows["ids"].to_pylist(), rows["toxic"].to_pylist(), rows["lang"].to_pylist(), strict=True), key=lambda r: (zlib.crc32(np.asarray(r[0], np.int32).tobytes()), len(r[0]), r[1], r[2] or ""))
     del rows
     total = sum(counts.values())
-    return train([np.asarray(r[0], np.int32).reshape(-1, 2) for r in got], np.array([r[1] for r in got], np.int64), [r[2] for r in got], counts.get(1, 0) / total if total else 0.5)
-
-
-def score(docs: DataFrame, model: TextCNN) -> DataFrame:
-    """doc_id, held_out, score, predicted, then flagged: whether the score reaches the threshold of the text's language."""
+    return train([np.asarray(r[0], np.int32).reshape(-1, 2) for r in got], np.array([r[1] for r in got], np.int64), counts.get(1, 0) / total if total else 0.5, ids)
+
+
+def _known(labels: DataFrame) -> DataFrame:
+    """Labels that may be learned from."""
+    return labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+
+
+def thresholds(scored: DataFrame, labels: DataFrame, fitted: list) -> dict[str, float]:
+    """Of each language with two letters, and of all rows (``*``): at most 26**2 + 1 histograms of BINS bins reach the driver."""
+    known = _known(labels).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    if fitted:
+        kind = labels.schema["doc_id"].dataType.simpleString()
+        known = known.join(F.broadcast(labels.sparkSession.createDataFrame([(i,) for i in fitted], f"doc_id {kind}")), "doc_id", "left_anti")
+    lang = F.when(F.col("lang").rlike("^[a-z]{2}$"), F.col("lang"))
+    rows = scored.join(known, "doc_id").select(lang.alias("lang"), F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"), "toxic")
+    counted = rows.groupBy("lang", "bin").agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("toxic")).collect()
+    of: dict[str, dict[int, tuple[int, int]]] = {"*": {}}
+    for r in counted:
+        for name in {"*", r.lang or "*"}:
+            clean, toxic = of.setdefault(name, {}).get(r.bin, (0, 0))
+            of[name][r.bin] = (clean + r.clean, toxic + r.toxic)
+    enough = {name: bins for name, bins in of.items() if sum(n[1] for n in bins.values()) >= (LEAST_TOXIC if name != "*" else 1)}
+    return {name: best_threshold(bins) for name, bins in sorted(enough.items())}
+
+
+def score(docs: DataFrame, model: TextCNN, labels: DataFrame | None = None) -> DataFrame:
+    """doc_id, held_out, score, predicted, then flagged: whether the score reaches the threshold of the text's language (0.5 without labels)."""
     require(docs, "doc_id", "text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -252,8 +268,12 @@ def score(docs: DataFrame, model: TextCNN) -> DataFrame:
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), lang.alias("lang"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, lang string, score double")
-    threshold = F.lit(0.5)
-    for name, value in model.thresholds.items():
-        threshold = F.when(F.col("lang") == name, F.lit(value)).otherwise(threshold)
-    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), (F.col("score") >= threshold).alias("flagged"))
+    made = docs.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), lang.alias("lang"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, lang string, score double")
+    found = {}
+    if labels is not None:
+        made = cut(made, "scores")
+        found = thresholds(made, labels, model.fitted)
+    of_lang = F.lit(found.get("*", 0.5))
+    if len(found) > 1:
+        of_lang = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for name, v in found.items() for x in (name, v)]), F.col("lang")), of_lang)
+    return made.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), (F.col("score") >= of_lang).alias("flagged"))

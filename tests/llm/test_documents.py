@@ -143,7 +143,7 @@ def test_toxicity_learns_planted_words():
     text = lambda bad: " ".join(rng.choice(vocab) for _ in range(60)) + (" grobian" + rng.choice(["en", "s", "ly"]) if bad else "")
     labels = np.array([i % 2 for i in range(400)])
     ids = [toxicity.word_numbers(text(y).encode()) for y in labels]
-    model = toxicity.train(ids, labels, ["en"] * 400, 0.5)
+    model = toxicity.train(ids, labels, 0.5)
     held = np.array([i % 2 for i in range(200)])
     scores = np.array([model.score(toxicity.word_numbers(text(y).encode())) for y in held])
     assert toxicity.auc(scores, held) > 0.95
@@ -344,3 +344,12 @@ def test_mix_of_ties_and_many_sources(spark, documents, monkeypatch):
     assert told(df) == want
     monkeypatch.setattr(mixing, "GROUP", 3)
     assert told(df) == want
+
+
+def test_thresholds_from_histograms(spark):
+    rows = [(i, "en" if i % 2 else "de", (i % 100) / 100) for i in range(2000)]
+    scored = spark.createDataFrame(rows, "doc_id long, lang string, score double")
+    labels = spark.createDataFrame([(i, int(s >= (0.3 if lang == "en" else 0.7))) for i, lang, s in rows], "doc_id long, toxic int")
+    got = toxicity.thresholds(scored, labels, [1, 2])
+    assert got["en"] == pytest.approx(0.31, abs=0.011) and got["de"] == pytest.approx(0.7, abs=0.011) and "*" in got
+    assert toxicity.thresholds(scored, labels.where("toxic > 1"), []) == {}
