@@ -44,6 +44,7 @@ PIECE_MODEL = "piece_bpe_32k.model"
 BYTE_MODEL = "byte_bpe_50k.tiktoken"
 SYMBOLS = "#*$%&|<>"
 _WHITE = "\t\n\x0b\x0c\r "
+_BLANKS = str.maketrans(dict.fromkeys(_WHITE, " "))
 #: Words kept with their tokens by each Python worker.
 CACHE_WORDS = 150_000
 #: Documents with fewer words have no reliable fertility and are not judged by it.
@@ -63,7 +64,7 @@ MEASURED = pa.schema(
 
 
 class Vocabulary:
-    """Both public tokenisers; ``lookup`` gives (tokens, byte fallback tokens, tokens of the byte-level vocabulary) of a word."""
+    """Both public tokenisers; ``seen`` gives (tokens, number of tokens of the byte-level vocabulary) of a word."""
 
     def __init__(self, folder: str) -> None:
         import sentencepiece
@@ -74,19 +75,24 @@ class Vocabulary:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.level = tiktoken.Encoding("byte_level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.fallback = frozenset(i for i in range(self.piece.get_piece_size()) if self.piece.is_byte(i))
-        self.seen: dict[str, tuple[list[int], int, int]] = {}
+        self.is_byte = np.array([self.piece.is_byte(i) for i in range(self.piece.get_piece_size())], bool)
+        self.seen: dict[str, tuple[list[int], int]] = {}
+        self.older: dict[str, tuple[list[int], int]] = {}
 
     def lookup(self, words: list[str]) -> None:
-        """Make sure that ``seen`` has these words."""
-        new = [w for w in set(words) if w not in self.seen]
+        """Make sure that ``seen`` has these words. Of two generations of words the older is dropped when the newer is full."""
+        if len(self.seen) > CACHE_WORDS // 2:
+            self.older, self.seen = self.seen, {}
+        new = set(words).difference(self.seen)
         if not new:
             return
-        if len(self.seen) > CACHE_WORDS:
-            self.seen.clear()
-            new = list(set(words))
-        for w, ids in zip(new, self.piece.encode(new, num_threads=1), strict=True):
-            self.seen[w] = (ids, sum(i in self.fallback for i in ids), len(self.level.encode_ordinary(" " + w)))
+        if self.older:
+            unknown = new.difference(self.older)
+            known, new = list(new - unknown), unknown
+            self.seen.update(zip(known, map(self.older.__getitem__, known), strict=True))
+        fresh = list(new)
+        count = self.level.encode_ordinary
+        self.seen.update(zip(fresh, zip(self.piece.encode(fresh, num_threads=1), [len(count(" " + w)) for w in fresh], strict=True), strict=True))
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -122,17 +128,20 @@ def measure(text: str | None, vocabulary: Vocabulary) -> tuple:
     base = (len(words), chars, sum(map(text.count, SYMBOLS)), dup_lines(data), repeated_words(words))
     if not words:
         return (*base, 0, None, None, None, None)
-    found = [w.decode() for w in words]
+    found = data.decode().translate(_BLANKS).split(" ")
+    found = [w for w in found if w]
     vocabulary.lookup(found)
     got = list(map(vocabulary.seen.__getitem__, found))
-    lengths = sum(len(x[0]) for x in got)
-    level = sum(x[2] for x in got)
-    ids = np.fromiter(chain.from_iterable(x[0] for x in got), np.int32, lengths)
+    pieces, levels = zip(*got, strict=True)
+    level = sum(levels)
+    ids = np.fromiter(chain.from_iterable(pieces), np.int32)
+    n = len(ids)
+    bytes_ = int(vocabulary.is_byte[ids].sum())
     ids.sort()
-    runs = np.diff(np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1], [True])))) if lengths else np.array([1])
-    entropy = float(np.log2(lengths) - (runs * np.log2(runs)).sum() / lengths) if lengths else 0.0
+    counts = np.diff(np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1], [True]))))
+    entropy = float(np.log2(n) - (counts * np.log2(counts)).sum() / n) if n else 0.0
     # a text of n tokens can't exceed log2(n) bits, so short texts are compared by their share of that
-    return (*base, lengths, chars / max(lengths, 1), chars / max(level, 1), sum(x[1] for x in got) / max(lengths, 1), entropy / max(np.log2(max(lengths, 2)), 1e-9))
+    return (*base, n, chars / max(n, 1), chars / max(level, 1), bytes_ / max(n, 1), entropy / max(np.log2(max(n, 2)), 1e-9))
 
 
 def measures(folder: str):
