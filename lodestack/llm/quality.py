@@ -44,7 +44,6 @@ PIECE_MODEL = "piece_bpe_32k.model"
 BYTE_MODEL = "byte_bpe_50k.tiktoken"
 SYMBOLS = "#*$%&|<>"
 _WHITE = "\t\n\x0b\x0c\r "
-_BLANKS = str.maketrans(dict.fromkeys(_WHITE, " "))
 #: Words kept with their tokens by each Python worker.
 CACHE_WORDS = 150_000
 #: Documents with fewer words have no reliable fertility and are not judged by it.
@@ -77,22 +76,19 @@ class Vocabulary:
         self.level = tiktoken.Encoding("byte_level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.is_byte = np.array([self.piece.is_byte(i) for i in range(self.piece.get_piece_size())], bool)
         self.seen: dict[str, tuple[list[int], int]] = {}
-        self.older: dict[str, tuple[list[int], int]] = {}
 
     def lookup(self, words: list[str]) -> None:
-        """Make sure that ``seen`` has these words. Of two generations of words the older is dropped when the newer is full."""
-        if len(self.seen) > CACHE_WORDS // 2:
-            self.older, self.seen = self.seen, {}
+        """Make sure that ``seen`` has these words."""
         new = set(words).difference(self.seen)
         if not new:
             return
-        if self.older:
-            unknown = new.difference(self.older)
-            known, new = list(new - unknown), unknown
-            self.seen.update(zip(known, map(self.older.__getitem__, known), strict=True))
+        if len(self.seen) > CACHE_WORDS:
+            self.seen.clear()
+            new = set(words)
         fresh = list(new)
         count = self.level.encode_ordinary
-        self.seen.update(zip(fresh, zip(self.piece.encode(fresh, num_threads=1), [len(count(" " + w)) for w in fresh], strict=True), strict=True))
+        for w, ids in zip(fresh, self.piece.encode(fresh, num_threads=1), strict=True):
+            self.seen[w] = (ids, len(count(" " + w)))
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -128,8 +124,7 @@ def measure(text: str | None, vocabulary: Vocabulary) -> tuple:
     base = (len(words), chars, sum(map(text.count, SYMBOLS)), dup_lines(data), repeated_words(words))
     if not words:
         return (*base, 0, None, None, None, None)
-    found = data.decode().translate(_BLANKS).split(" ")
-    found = [w for w in found if w]
+    found = [w.decode() for w in words]
     vocabulary.lookup(found)
     got = list(map(vocabulary.seen.__getitem__, found))
     pieces, levels = zip(*got, strict=True)
