@@ -27,7 +27,9 @@ def frame(spark, texts, extra=True):
 
 @pytest.fixture(scope="module")
 def documents(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").cache()
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").cache()
+    yield df
+    df.unpersist()
 
 
 ODD = [None, "", " \t\n ", "word", "word", "é" * 50 + "  x", "a b c " * 3000, "x\ny\nx\n\n \nx"]
