@@ -119,18 +119,26 @@ def split_oversize(block: Block, budget: int) -> list[Block]:
     return [Block(block.kind, t, block.anchor if i == 0 else None) for i, t in enumerate(out)]
 
 
+def _tokens(words: int) -> int:
+    return max(1, int(words * TOKENS_PER_WORD))
+
+
 def pack(found: list[Block], budget: int = BUDGET) -> list[Block]:
-    """Greedy chunks: headings wait for a body and open a new chunk; a body too long repeats its heading on each part."""
+    """Greedy chunks: headings wait for a body and open a new chunk; a body too long repeats its heading on each part.
+
+    The budget holds for the tokens of the whole chunk, counted from its words:
+    counts of parts are cut off one by one and would add up to less.
+    """
     out: list[Block] = []
     held: list[Block] = []
     now: list[Block] = []
-    size = 0
+    words = lambda blocks: sum(len(b.text.split()) for b in blocks)
 
     def close() -> None:
-        nonlocal now, size
+        nonlocal now
         if now:
             out.append(Block("chunk", "\n\n".join(b.text for b in now), next((b.anchor for b in now if b.anchor), None)))
-        now, size = [], 0
+        now = []
 
     for block in found:
         if block.kind in HEADINGS:
@@ -141,16 +149,13 @@ def pack(found: list[Block], budget: int = BUDGET) -> list[Block]:
         context = [Block(h.kind, f"{'#' * int(h.kind[1])} {h.text}", h.anchor) for h in held]
         if held:
             close()
-        room = max(1, budget - sum(approx_tokens(h.text) for h in context))
+        room = max(1, budget - _tokens(words(context)) - 1) if context else budget
         for i, part in enumerate(split_oversize(block, room)):
-            need = approx_tokens(part.text)
-            if now and (size + need > budget or i > 0):
+            if now and (i > 0 or _tokens(words(now) + words([part])) > budget):
                 close()
             if context and not now and (i == 0 or held):
                 now = list(context)
-                size = sum(approx_tokens(h.text) for h in context)
             now.append(part)
-            size += need
         held = []
     if held:
         close()

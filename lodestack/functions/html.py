@@ -236,25 +236,146 @@ def links(html: str) -> list[tuple[str, str]]:
     return [(n.attrs["href"].strip(), n.text()) for n in parse(html).walk() if n.tag == "a" and n.attrs.get("href", "").strip() and not re.match(r"(?i)\s*(javascript|data):", n.attrs["href"])]
 
 
+#: Points in time that stand for "now" and "from the beginning".
+SENTINELS = ("99991231235958", "10010101000001")
+
+
+def _labels(root: Node) -> dict[int, str]:
+    """For each link in a table row, the text of the row's other cells."""
+    out: dict[int, str] = {}
+    for row in (n for n in root.walk() if n.tag == "tr"):
+        cells = [n for n in row.walk() if n.tag in ("td", "th")]
+        texts = [c.text() for c in cells]
+        for i, c in enumerate(cells):
+            beside = " ".join(t for k, t in enumerate(texts) if k != i and t)
+            for n in c.walk():
+                if n.tag == "a":
+                    out[id(n)] = beside
+    return out
+
+
 def anchors(html: str, own: str) -> list[dict]:
-    """Links as anchors: ``in_doc`` (#name), ``history`` (own document at another time), ``sister`` (other documents); each once."""
+    """Links as anchors, each once: ``in_doc`` (a name that the page has), ``history`` (a document at a point in time), ``sister`` (another document).
+
+    A label is the text beside the link in its table row, then its own; of a
+    history with the day, and ``(unnamed)`` if there is none.
+    """
+    from lodestack.functions.extract import pit_to_date
+
+    root = parse(html)
+    names, beside = targets(root), _labels(root)
     out, seen = [], set()
-    for href, label in links(html):
-        if href.startswith("#") and len(href) > 1:
-            row = {"kind": "in_doc", "label": label, "target": href[1:], "pit": None}
-        elif doc := document_of_link(href):
-            if doc[0] == own and doc[1] is None:
+    for n in root.walk():
+        href = n.attrs.get("href", "") if n.tag == "a" else ""
+        if not href:
+            continue
+        target, pit = href[1:], None
+        if href.startswith("#"):
+            if target not in names:
                 continue
-            row = {"kind": "history" if doc[0] == own else "sister", "label": label, "target": doc[0], "pit": doc[1]}
+            kind = "in_doc"
         else:
-            continue
-        key = (row["kind"], row["target"], row["pit"])
-        if key not in seen:
-            seen.add(key)
+            found = document_of_link(href)
+            if not found:
+                continue
+            target, pit = found[0], None if found[1] in SENTINELS else found[1]
+            if pit is None and target == own:
+                continue
+            kind = "history" if pit else "sister"
+        parts = dict.fromkeys(t for t in (beside.get(id(n), ""), n.text()) if t)
+        label = " ".join(parts)
+        if pit:
+            day = pit_to_date(pit) or pit.strip()
+            label = f"{label} ({day})" if label else day
+        row = {"kind": kind, "label": label or "(unnamed)", "target": target, "pit": pit}
+        if tuple(row.values()) not in seen:
+            seen.add(tuple(row.values()))
             out.append(row)
     return out
 
 
+def front_matter(html: str) -> tuple[list[str], str | None]:
+    """What the front of an explanatory document says: its references and the phrase that names its kind."""
+    front = parse(html).first(lambda n: n.attrs.get("id") == "Lawfront")
+    refs, phrase = [], None
+    for child in front.children if front else []:
+        strong = child.first(lambda n: n.tag == "strong") if isinstance(child, Node) else None
+        told = strong.text() if strong else ""
+        if isinstance(child, Node) and child.tag == "div" and "ref" in child.attrs.get("class", "").split() and told:
+            refs.append(told)
+        elif isinstance(child, Node) and child.tag == "p" and phrase is None and told.lower().startswith("explanatory "):
+            phrase = told
+    return refs, phrase
+
+
+def law_contents(html: str) -> str | None:
+    """The first article's content in a division named for it."""
+    article = parse(html).first(lambda n: n.tag == "article")
+    return None if article is None else Node("div", {"id": "lawContents"}, article.children).html()
+
+
+def withdrawn_by_timeline(html: str) -> str | None:
+    """The last day that the table around the timeline's anchor gives for a withdrawal."""
+    from lodestack.functions.extract import real_date
+
+    root = parse(html)
+    holds = lambda n: n.first(lambda x: x.tag == "a" and x.attrs.get("name") == "LawTimeLine") is not None
+    panels = [n for n in root.walk() if (n.tag == "table" or "panel" in n.attrs.get("class", "").split()) and holds(n)]
+    latest = None
+    for row in (n for n in panels[-1].walk() if n.tag == "tr") if panels else ():
+        cells = [n for n in row.walk() if n.tag == "td"]
+        at = next((i for i, c in enumerate(cells) if "date" in c.attrs.get("class", "").lower()), None)
+        if len(cells) < 2 or at is None:
+            continue
+        label = cells[at + 1] if at + 1 < len(cells) else cells[-1]
+        if "withdraw" in label.text().lower():
+            latest = real_date(cells[at].text()) or latest
+    return latest
+
+
+_TAG_VALUE = r"""(?:"([^"]*)"|'([^']*)'|([^\s>]*))"""
+
+
+def attribute_of(tag: str, name: str) -> str | None:
+    m = re.search(rf"(?is)\b{re.escape(name)}\s*=\s*{_TAG_VALUE}", tag)
+    return next((g for g in m.groups() if g is not None), "") if m else None
+
+
+def linked(html: str, source: str = "ato") -> str:
+    """Links to documents become references to them; script and data links lose their address."""
+
+    def one(m: re.Match) -> str:
+        href = attribute_of(m[1], "href")
+        if href is None:
+            return m[0]
+        bare = re.sub(r"""(?is)\s+href\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]*)""", "", m[1])
+        if found := document_of_link(href):
+            from lodestack.ident import DocumentId
+
+            native, pit, view = found
+            told = {"data-doc-id": str(DocumentId(source, native)), "data-pit": pit, "data-view": view}
+            return f"<a{bare}" + "".join(f' {k}="{escape(v)}"' for k, v in told.items() if v) + ">"
+        dead = not href.strip() or re.match(r"(?i)\s*(javascript|data):", href)
+        return f"<a{bare}>" if dead else m[0]
+
+    return re.sub(r"(?is)<a\b([^>]*)>", one, html)
+
+
+def pictured(html: str, document: str) -> tuple[str, list[dict]]:
+    """Images become spans that refer to numbered assets; warning signs go. Also the assets: id, src, alt, title."""
+    assets: list[dict] = []
+
+    def one(m: re.Match) -> str:
+        src, alt, title = ((" ".join((attribute_of(m[1], k) or "").split()) or None) for k in ("src", "alt", "title"))
+        if (alt or title or "").lower() == "exclamation":
+            return ""
+        asset = {"asset_id": f"{document}/{len(assets)}", "src": src, "alt": alt, "title": title}
+        assets.append(asset)
+        return f'<span data-asset-ref="{escape(asset["asset_id"])}">{escape(alt or title or "")}</span>'
+
+    return re.sub(r"(?is)<img\b([^>]*)>", one, html), assets
+
+
 ALLOWED = frozenset("a article blockquote br caption code dd div dl dt em h1 h2 h3 h4 h5 h6 hr i img li ol p pre section span strong b sub sup table tbody td th thead tr ul".split())
 KEPT = {"a": ("href", "name"), "img": ("src", "alt", "title"), "td": ("colspan", "rowspan"), "th": ("colspan", "rowspan")}
 

@@ -175,10 +175,10 @@ def dedup_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("canonical").agg(F.count("*").alias("occurrences"), F.countDistinct("path").alias("folders"), best.alias("best")).select("canonical", "occurrences", "folders", F.col("best.path").alias("best_path"))
 
 
-@query("select coalesce(nullif(trim(lang), ''), '(untitled)') as title, count(*) as n from documents where lang in ('de', 'fr') group by 1")
+@query("select coalesce(nullif(trim(lang), ''), '(untitled)') as title, count(*) as n, coalesce(lang, '') in ('de', 'fr') as excluded from documents group by 1, 3")
 def excluded_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where(F.col("lang").isin("de", "fr"))
-    return d.groupBy(F.coalesce(F.nullif(F.trim("lang"), F.lit("")), F.lit("(untitled)")).alias("title")).agg(F.count("*").alias("n"))
+    title = F.coalesce(F.nullif(F.trim("lang"), F.lit("")), F.lit("(untitled)")).alias("title")
+    return table(spark, sf_dir, "documents").groupBy(title, F.coalesce(F.col("lang").isin("de", "fr"), F.lit(False)).alias("excluded")).agg(F.count("*").alias("n"))
 
 
 @query("select p_type as category, count(*) as n, row_number() over (order by count(*) desc, p_type) as rank from part group by p_type qualify rank <= 10")
@@ -238,11 +238,11 @@ def declared_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(n, "o_orderkey", "left").select("o_orderkey", "declared", F.coalesce("listed", F.lit(0)).alias("listed")).withColumn("complete", F.col("declared") == F.col("listed"))
 
 
-@query("""with r as (select p_brand as title, p_partkey, lower(p_name) as name, p_size, (p_partkey % 3) as fmt, p_partkey % 2 = 0 as authorised from part where lower(p_type) like '%steel%')
+@query("""with r as (select p_brand as title, p_partkey, lower(p_name) as name, p_size, (p_partkey % 3) as fmt, p_partkey % 2 = 0 as authorised from part where lower(p_type) like '%e%')
 select title, p_partkey, fmt from (select *, row_number() over (partition by title order by fmt, authorised desc, p_size desc, name, p_partkey) as rn from r) where rn = 1""")
 def rendition_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The preferred rendition of each title: kind, then authorised, then rectified."""
-    p = table(spark, sf_dir, "part").where(F.lower("p_type").contains("steel")).select(F.col("p_brand").alias("title"), "p_partkey", F.lower("p_name").alias("name"), "p_size", (F.col("p_partkey") % 3).alias("fmt"), (F.col("p_partkey") % 2 == 0).alias("authorised"))
+    p = table(spark, sf_dir, "part").where(F.lower("p_type").contains("e")).select(F.col("p_brand").alias("title"), "p_partkey", F.lower("p_name").alias("name"), "p_size", (F.col("p_partkey") % 3).alias("fmt"), (F.col("p_partkey") % 2 == 0).alias("authorised"))
     return corpus.newest(p, ["title"], F.col("fmt").asc(), F.col("authorised").desc(), F.col("p_size").desc(), F.col("name").asc(), F.col("p_partkey").asc()).select("title", "p_partkey", "fmt")
 
 

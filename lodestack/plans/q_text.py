@@ -80,16 +80,18 @@ def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapped(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", one, "ord long, tokens long, text string", {"ord": pa.int64(), "tokens": pa.int64(), "text": pa.string()})
 
 
-@query(r"""select doc_id, len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])\s+([A-Z(])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: x <> '')) as n_sentences from documents where lang = 'en' and not regexp_matches(text, '[.!?]\s+[A-Z(][.!?]\s')""")
+_SPACES = "[" + "".join(["\\t\\n\\x0B\\f\\r ", "\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"]) + "]"
+
+
+@query(r"""select doc_id, case when text is null then null else 1 + len(regexp_extract_all(regexp_replace(text, '([.!?])[\t\n\x0B\f\r ]+', '\1' || chr(1), 'g'), '[.!?]' || chr(1) || '[A-Z(]')) end as n_sentences from documents""")
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").where(~F.col("text").rlike(r"[.!?]\s+[A-Z(][.!?]\s"))
-    return d.select("doc_id", F.size(F.filter(T.sentences(F.col("text")), lambda x: x != "")).cast("bigint").alias("n_sentences"))
+    """Sentences of every text; a split is counted where a stop, white space and a capital or bracket meet."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("text").isNotNull(), F.size(T.sentences(F.col("text")))).cast("bigint").alias("n_sentences"))
 
 
-@query(r"select doc_id, greatest(1, floor(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) * 1.3)::int) as tokens from documents where not regexp_matches(text, '[\x{0085}\x{00A0}\x{2000}-\x{3000}]')")
+@query(f"select doc_id, case when text is not null then greatest(1, floor(len(list_filter(regexp_split_to_array(text, '{_SPACES}+'), lambda x: x <> '')) * 1.3)::int) end as tokens from documents")
 def approx_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[\x{0085}\x{00A0}\x{2000}-\x{3000}]"))
-    return d.select("doc_id", T.approx_tokens(F.col("text")).alias("tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("text").isNotNull(), T.approx_tokens(F.col("text"))).alias("tokens"))
 
 
 @query(r"select p_partkey, substr(case when regexp_replace(regexp_replace(lower(p_type || ' / ' || p_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') = '' then 'item' else regexp_replace(regexp_replace(lower(p_type || ' / ' || p_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') end, 1, 80) as slug from part")

@@ -141,3 +141,18 @@ def test_html_and_metadata():
     assert extract.currency("", "This Ruling was withdrawn on 3 May 2020.", "")[0] == "2020-05-03"
     assert extract.rewritten("[doc:ato:A pit=20200101] [doc:ato:B]", ("ato", "C"), {("ato", "B")}) == "[fetch:legal://ato/A?pit=20200101] [doc:ato:B]"
     assert extract.pit_to_date("20200230") is None and extract.precise_date("on 31 February 2020") == "2020-02-31"
+
+
+def test_anchors_links_and_images():
+    link = "/law/view/document?docid=TXR/TR20013/NAT"
+    page = f"""<table><tr><td>Addendum</td><td><a href="{link}&PiT=20200102000000">changed</a></td></tr><tr><td><a href="{link}&PiT=99991231235958">now</a></td></tr></table><a href="#x">in</a><a href="#nowhere">out</a><p id="x">t</p>"""
+    rows = [(r["kind"], r["label"], r["pit"]) for r in html.anchors(page, "A/B")]
+    assert rows == [("history", "Addendum changed (2020-01-02)", "20200102000000"), ("sister", "now", None), ("in_doc", "in", None)]
+    assert html.linked(f'<a class="k" href="{link}&PiT=20200102000000">x</a><a href="javascript:go()">y</a><a href="/z">z</a>').count("href") == 1
+    out, assets = html.pictured('<p><img src="a.png" alt=" A  b "><img alt="Exclamation" src="w.gif"><img src=c.png></p>', "D/1")
+    assert out == '<p><span data-asset-ref="D/1/0">A b</span><span data-asset-ref="D/1/1"></span></p>' and [a["src"] for a in assets] == ["a.png", "c.png"]
+    front = '<div id="Lawfront"><div class="ref"><strong>Bill 2001</strong></div><p><strong>Explanatory Memorandum</strong></p></div>'
+    assert html.front_matter(front) == (["Bill 2001"], "Explanatory Memorandum") and html.front_matter("<p>x</p>") == ([], None)
+    assert html.law_contents("<main><article><p>a</p>b</article></main>") == '<div id="lawContents"><p>a</p>b</div>'
+    rows = '<tr><td class="date">1 May 2001</td><td>Issued</td></tr><tr><td class="date">2 June 2003</td><td>Withdrawn</td></tr>'
+    assert html.withdrawn_by_timeline(f'<table><tr><td><a name="LawTimeLine"></a></td></tr>{rows}</table>') == "2003-06-02"
