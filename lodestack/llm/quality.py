@@ -29,8 +29,9 @@ from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Iterator
-from itertools import chain
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,9 @@ BYTE_MODEL = "byte_bpe_50k.tiktoken"
 SYMBOLS = "#*$%&|<>"
 _WHITE = "\t\n\x0b\x0c\r "
 #: Words kept with their tokens by each Python worker.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 400_000
+#: Characters of texts whose words are looked up together.
+CHUNK = 1_000_000
 #: Documents with fewer words have no reliable fertility and are not judged by it.
 MIN_TOKENS = 30
 #: A language or script with fewer documents than this has no band of its own; a corpus with fewer has none at all.
@@ -63,7 +66,7 @@ MEASURED = pa.schema(
 
 
 class Vocabulary:
-    """Both public tokenisers; ``seen`` gives (tokens, number of tokens of the byte-level vocabulary) of a word."""
+    """Both public tokenisers and a bounded table of words: where a word's pieces lie in ``flat``, and its number of byte-level tokens."""
 
     def __init__(self, folder: str) -> None:
         import sentencepiece
@@ -75,38 +78,64 @@ class Vocabulary:
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.level = tiktoken.Encoding("byte_level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.is_byte = np.array([self.piece.is_byte(i) for i in range(self.piece.get_piece_size())], bool)
-        self.seen: dict[str, tuple[list[int], int]] = {}
-
-    def lookup(self, words: list[str]) -> None:
-        """Make sure that ``seen`` has these words."""
-        new = set(words).difference(self.seen)
+        self.clear()
+
+    def clear(self) -> None:
+        self.seen: dict[bytes, int] = {}
+        self.flat, self.ends, self.levels = array("i"), array("q", [0]), array("i")
+
+    def learn(self, texts: list[dict[bytes, int]]) -> None:
+        """Take the words of some texts into the table; one call of a tokeniser for many words costs far less than many calls."""
+        new = set().union(*texts).difference(self.seen)
+        if new and len(self.seen) + len(new) > CACHE_WORDS and self.seen:
+            self.clear()
+            new = set().union(*texts)
         if not new:
             return
-        if len(self.seen) > CACHE_WORDS:
-            self.seen.clear()
-            new = set(words)
-        fresh = list(new)
-        count = self.level.encode_ordinary
-        for w, ids in zip(fresh, self.piece.encode(fresh, num_threads=1), strict=True):
-            self.seen[w] = (ids, len(count(" " + w)))
-
-
-def repeated_words(words: list[bytes]) -> int:
-    """Words covered by a window of three words that is found at least twice in the text."""
-    n = len(words) - 2
+        fresh = [w.decode() for w in new]
+        self.seen.update(zip(new, range(len(self.seen), len(self.seen) + len(new)), strict=True))
+        for ids in self.piece.encode(fresh, num_threads=1):
+            self.flat.extend(ids)
+            self.ends.append(len(self.flat))
+        encode = self.level.encode_ordinary
+        self.levels.extend([len(encode(" " + w)) for w in fresh])
+
+    def pieces(self, words: dict[bytes, int], times: np.ndarray) -> tuple[np.ndarray, int, int]:
+        """How often each piece occurs in a text with these (learnt) words, the pieces that are bytes, and the byte-level tokens."""
+        at = np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
+        # the views end with this call: an array that is viewed can't grow
+        ends = np.frombuffer(self.ends, np.int64)
+        first, size = ends[at], ends[at + 1] - ends[at]
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        ids = np.frombuffer(self.flat, np.int32)[np.repeat(first, size) + inside] if len(inside) else np.empty(0, np.int32)
+        counts = np.bincount(ids, np.repeat(times, size), len(self.is_byte)).astype(np.int64)
+        return counts[counts > 0], int(counts[self.is_byte].sum()), int(np.frombuffer(self.levels, np.int32)[at] @ times)
+
+
+def numbered(words: list[bytes]) -> tuple[dict[bytes, int], np.ndarray]:
+    """The distinct words with their numbers, and the text as these numbers."""
+    number = dict(zip(dict.fromkeys(words), count(), strict=False))
+    return number, np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+
+
+def repeated_words(text: np.ndarray) -> int:
+    """Words covered by a window of three words that is found at least twice in the text, given as word numbers."""
+    n = len(text) - 2
     if n < 2:
         return 0
-    windows = list(zip(words, words[1:], words[2:], strict=False))
-    first: dict[tuple, int] = {}
-    hit = bytearray(len(words))
-    if len(set(windows)) == n:
+    # pairs are numbered anew, so that a pair and a word fit in 64 bits whatever the length of the text
+    width = int(text.max()) + 1
+    _, pair = np.unique(text[:-1] * width + text[1:], return_inverse=True)
+    window = pair[:-1] * width + text[2:]
+    order = window.argsort(kind="stable")
+    same = np.diff(window[order]) == 0
+    if not same.any():
         return 0
-    for i, w in enumerate(windows):
-        j = first.setdefault(w, i)
-        if j != i:
-            hit[i] = hit[i + 1] = hit[i + 2] = 1
-            hit[j] = hit[j + 1] = hit[j + 2] = 1
-    return sum(hit)
+    at = np.concatenate((order[1:][same], order[:-1][same]))
+    hit = np.zeros(len(text), bool)
+    for i in range(3):
+        hit[at + i] = True
+    return int(hit.sum())
 
 
 def dup_lines(data: bytes) -> int:
@@ -115,36 +144,44 @@ def dup_lines(data: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def measure(text: str | None, vocabulary: Vocabulary) -> tuple:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_tokens and the four measures."""
-    text = text or ""
-    data = text.encode()
-    words = data.split()
+def measure(text: str, number: dict[bytes, int], order: np.ndarray, vocabulary: Vocabulary) -> tuple:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_tokens and the four measures of a text given with its word numbers."""
     chars = len(text) - sum(map(text.count, _WHITE))
-    base = (len(words), chars, sum(map(text.count, SYMBOLS)), dup_lines(data), repeated_words(words))
-    if not words:
+    base = (len(order), chars, sum(map(text.count, SYMBOLS)), dup_lines(text.encode()), repeated_words(order))
+    if not number:
         return (*base, 0, None, None, None, None)
-    found = [w.decode() for w in words]
-    vocabulary.lookup(found)
-    got = list(map(vocabulary.seen.__getitem__, found))
-    pieces, levels = zip(*got, strict=True)
-    level = sum(levels)
-    ids = np.fromiter(chain.from_iterable(pieces), np.int32)
-    n = len(ids)
-    bytes_ = int(vocabulary.is_byte[ids].sum())
-    ids.sort()
-    counts = np.diff(np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1], [True]))))
+    counts, bytes_, level = vocabulary.pieces(number, np.bincount(order))
+    n = int(counts.sum())
     entropy = float(np.log2(n) - (counts * np.log2(counts)).sum() / n) if n else 0.0
     # a text of n tokens can't exceed log2(n) bits, so short texts are compared by their share of that
     return (*base, n, chars / max(n, 1), chars / max(level, 1), bytes_ / max(n, 1), entropy / max(np.log2(max(n, 2)), 1e-9))
 
 
+def measure_all(texts: Iterable[str | None], vocabulary: Vocabulary) -> Iterator[tuple]:
+    """measure() of each text, whose words are learnt for about CHUNK characters of texts at a time."""
+    held: list[tuple[str, dict[bytes, int], np.ndarray]] = []
+    chars = 0
+
+    def told() -> Iterator[tuple]:
+        vocabulary.learn([number for _, number, _ in held])
+        yield from [measure(*h, vocabulary) for h in held]
+
+    for text in texts:
+        text = text or ""
+        held.append((text, *numbered(text.encode().split())))
+        chars += len(text)
+        if chars >= CHUNK:
+            yield from told()
+            held, chars = [], 0
+    yield from told()
+
+
 def measures(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = None
         for batch in batches:
             vocabulary = vocabulary or Vocabulary(folder)
-            rows = [measure(t.as_py(), vocabulary) for t in batch.column(1)]
+            rows = list(measure_all((t.as_py() for t in batch.column(1)), vocabulary))
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in MEASURED.names[1:]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, f.type) for c, f in zip(columns, list(MEASURED)[1:], strict=True)]], schema=MEASURED)
 
@@ -232,12 +269,12 @@ def _tagged(folder: str):
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tags: list[pa.Array] = []
 
-        def numbered() -> Iterator[pa.RecordBatch]:
+        def with_rows() -> Iterator[pa.RecordBatch]:
             for b in batches:
                 tags.append(b.column(0))
                 yield pa.RecordBatch.from_arrays([pa.array(range(b.num_rows), pa.int64()), b.column(1)], names=["row", "text"])
 
-        for out in run(numbered()):
+        for out in run(with_rows()):
             yield pa.RecordBatch.from_arrays([tags.pop(0), *out.columns[1:]], names=["tag", *MEASURED.names[1:]])
 
     return mapped
