@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestack import schema
 from lodestack.operators.corpus import table_digest
+from lodestack.plans.runs import Folder
 
 VERSION = 12
 MAX_MANIFEST = 8 << 20
@@ -72,18 +73,8 @@ class Store:
             stream.close()
 
     def _write(self, name: str, text: str) -> None:
-        """To a temporary name, then renamed over the old one."""
-        temp = self._path(f".{name.replace('/', '_')}.tmp")
-        stream = self._fs.create(temp, True)
-        try:
-            stream.write(bytearray(text.encode()))
-        finally:
-            stream.close()
-        target = self._path(name)
-        if self._fs.exists(target):
-            self._fs.delete(target, False)
-        if not self._fs.rename(temp, target):
-            raise OSError(f"can't replace {name}")
+        """A reader finds the old text or the new one, never none."""
+        Folder(self.spark, self.root).replace(name, text)
 
     def build(self, tables: dict[str, DataFrame], model: str = "", created_at: str = "") -> str:
         """Writes and checks all tables in a staging folder, then gives it its name; the id is the hash of the manifest."""
@@ -109,8 +100,9 @@ class Store:
         out = {}
         for name in sorted(names):
             df = self.table(folder, name)
-            plain = [c for c, t in df.dtypes if not t.startswith(("array", "binary", "struct", "map"))]
-            row = table_digest(df.withColumn("__all", F.lit(1)), sorted(plain), ["__all"]).first()
+            # vectors and nested values count by their JSON spelling, bytes by their hexadecimal one
+            spelled = [F.to_json(F.struct(c)).alias(c) if t.startswith(("array", "struct", "map")) else F.hex(c).alias(c) if t == "binary" else F.col(c) for c, t in df.dtypes]
+            row = table_digest(df.select(*spelled, F.lit(1).alias("__all")), sorted(df.columns), ["__all"]).first()
             out[name] = {"rows": row.n if row else 0, "digest": row.digest if row else 0}
         return out
 
