@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestack.llm import importance, whitening
+from lodestack.llm import hostpaths, importance, whitening
 from lodestack.llm.common import sf_table
 
 
@@ -14,3 +14,7 @@ def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(sf_table(spark, sf_dir, "embeddings"))
+
+
+def op11_host_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hostpaths.extract(sf_table(spark, sf_dir, "pages"))
