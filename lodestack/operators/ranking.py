@@ -30,6 +30,19 @@ def rrf(*lists: DataFrame, ident: str = "chunk_id") -> DataFrame:
     return out.groupBy(ident).agg(F.sum("part").alias("score"))
 
 
+def with_metadata(fused: DataFrame, meta: DataFrame, ident: str = "chunk_id") -> DataFrame:
+    """Candidates with the columns of ``meta``; one that has no row there is an error that names it, raised where the plan runs.
+
+    ``fused`` is a bounded list (two frontiers at most), so it is broadcast to
+    the metadata, and what matches is as small.
+    """
+    found = meta.join(F.broadcast(fused.select(ident)), ident)
+    told = [c for c in meta.columns if c != ident]
+    both = fused.join(found.withColumn("__held", F.lit(True)), ident, "left")
+    known = F.when(F.col("__held").isNull(), F.raise_error(F.concat(F.lit("candidate without metadata: "), F.col(ident).cast("string"))).cast("boolean")).otherwise(F.lit(True))
+    return both.where(known).select(*fused.columns, *told)
+
+
 def diverse(df: DataFrame, k: int, cap: int = PER_DOC, doc: str = "document", ident: str = "chunk_id") -> DataFrame:
     """At most ``cap`` hits of a document, documents by their best hit.
 

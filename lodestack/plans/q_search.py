@@ -7,12 +7,15 @@ documents and ``part`` for titles with headings.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.functions.snippet import snippet_col
 from lodestack.functions.text import simple_tokens
-from lodestack.operators import filters, lexical, ranking, vector
+from lodestack.operators import filters, lexical, lexstore, plane, ranking, stored, vector
+from lodestack.plans import store
 from lodestack.plans.registry import query, table
 
 TERMS = ["the", "and"]
@@ -36,31 +39,53 @@ def _oracle_bm25(terms: list[str], source: str, ident: str = "doc_id") -> str:
     return source + ", " + _BM25.format(tf=tf, df=df, score=score, all=" and ".join(f"tf{i} > 0" for i in range(len(terms))))
 
 
-_DOC_TOKENS = f"with t as (select doc_id, {_TOKENS.format('text')} as toks, len({_TOKENS.format('text')}) as len from documents where lang = 'en')"
+_TEXT = "coalesce(text, '')"
+_DOC_TOKENS = f"with t as (select doc_id, {_TOKENS.format(_TEXT)} as toks, len({_TOKENS.format(_TEXT)}) as len from documents)"
+#: The whole table is one source here.
+SOURCE = "documents"
+#: Folders of terms in a source; each is at least one small file.
+BUCKETS = 64
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text", simple_tokens(F.coalesce("text", F.lit(""))).alias("toks"))
 
 
-def _english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text", simple_tokens(F.col("text")).alias("toks"))
+def _index_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tokens(spark, sf_dir).select(F.lit(SOURCE).alias("source_id"), F.col("doc_id").alias("row_id"), F.lit(0).alias("col"), F.col("toks").alias("tokens"))
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> lexstore.LexicalStore:
+    """The stored index of all documents: built by the first query that asks for it."""
+    return store.once(spark, "text", [f"{sf_dir}/documents.parquet"], lambda p: lexstore.build(_index_input(spark, sf_dir), p, buckets=BUCKETS), lambda p: lexstore.LexicalStore(spark, p, {SOURCE}))
 
 
 @query(_oracle_bm25(TERMS, _DOC_TOKENS) + f", best as (select doc_id, round(score, 9) as score, row_number() over (order by score desc, doc_id) as rank from scored) select * from best where rank <= {K}")
 def bm25_strict_and(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that hold every term, by BM25 over the whole source."""
-    scored = lexical.scan_bm25(_english(spark, sf_dir).drop("text"), F.col("toks"), TERMS)
+    scored = lexical.scan_bm25(_tokens(spark, sf_dir).drop("text"), F.col("toks"), TERMS)
     return lexical.top(scored, K, "doc_id").select("doc_id", F.round("score", 9).alias("score"), "rank")
 
 
 @query(_oracle_bm25(TERMS, _DOC_TOKENS) + f", best as (select doc_id, round(score, 9) as score, row_number() over (order by score desc, doc_id) as rank from scored) select * from best where rank <= {K}")
 def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from a positional index that is built on the fly."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("lang").alias("source_id"), F.col("doc_id").alias("row_id"), F.lit(0).alias("col"), simple_tokens(F.col("text")).alias("tokens"))
-    postings, rows = lexical.build_index(docs)
-    scored = lexical.bm25(postings, rows, [[t] for t in TERMS])
-    return lexical.top(scored, K, "row_id").select(F.col("row_id").alias("doc_id"), F.round("score", 9).alias("score"), "rank")
+    """The same from the stored index: the terms' blocks only."""
+    best = text_index(spark, sf_dir).search(SOURCE, [[x] for x in TERMS], K)
+    return best.select(F.col("row_id").alias("doc_id"), F.round("score", 9).alias("score"), "rank")
+
+
+@query(f"with t as (select doc_id, unnest({_TOKENS.format(_TEXT)}) as term from documents) select term, count(distinct doc_id) as df, count(*) as occurrences from t group by term")
+def lexical_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Builds the index anew each time and reads back its whole vocabulary with the occurrences that the postings hold."""
+    path = f"{stored.shared_folder(spark)}/text-{uuid.uuid4().hex}"
+    lexstore.build(_index_input(spark, sf_dir), path, buckets=BUCKETS)
+    found = lexstore.LexicalStore(spark, path, {SOURCE})
+    held = found.postings.groupBy("term").agg(F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda s, x: s + x)).alias("occurrences"))
+    return found.terms.select("term", "df").join(held, "term").select("term", "df", "occurrences")
 
 
 _PHRASE_SQL = f"""
-with t as (select doc_id, {_TOKENS.format('text')} as toks from documents where lang = 'en'),
+with t as (select doc_id, {_TOKENS.format(_TEXT)} as toks from documents),
 c as (select doc_id, len(toks) as len, len(list_filter(range(1, len(toks)), lambda i: toks[i] = '{PHRASE[0]}' and toks[i + 1] = '{PHRASE[1]}')) as tf from t),
 s as (select count(*) as n, avg(len) as mean, count(*) filter (tf > 0) as df from c),
 sc as (select doc_id, tf, (case when ln((n - df + 0.5) / (df + 0.5)) <= 0 then 1e-6 else ln((n - df + 0.5) / (df + 0.5)) end) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean)) as score from c, s where tf > 0),
@@ -70,11 +95,12 @@ select * from b where rank <= {K}"""
 
 @query(_PHRASE_SQL)
 def bm25_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A hyphenated term is a phrase: its words one after another."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("lang").alias("source_id"), F.col("doc_id").alias("row_id"), F.lit(0).alias("col"), simple_tokens(F.col("text")).alias("tokens"))
-    postings, rows = lexical.build_index(docs)
-    scored = lexical.bm25(postings, rows, [PHRASE]).join(lexical.phrase_hits(postings, PHRASE), ["source_id", "row_id"])
-    return lexical.top(scored, K, "row_id").select(F.col("row_id").alias("doc_id"), "tf", F.round("score", 9).alias("score"), "rank")
+    """A hyphenated term is a phrase: its words one after another, by the places that the stored index keeps."""
+    index = text_index(spark, sf_dir)
+    best = index.search(SOURCE, [PHRASE], K)
+    tf = lexical.phrase_hits(index.positional(SOURCE, PHRASE), PHRASE).select(F.col("row_id").alias("row_no"), "tf")
+    numbers = index.rows.where(F.col("source_id") == SOURCE).select("row_no", "row_id").join(F.broadcast(best), "row_id")
+    return tf.join(F.broadcast(numbers), "row_no").select(F.col("row_id").alias("doc_id"), "tf", F.round("score", 9).alias("score"), "rank")
 
 
 @query()
@@ -165,8 +191,17 @@ def unknown_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(t,) for t in bad], "type string")
 
 
+def _floats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.lit("embeddings").alias("source_id"), F.col("vec_id").alias("chunk_id"), F.col("label").alias("document"), "embedding")
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("document"), vector.quantized(F.col("embedding")).alias("embedding"))
+    return _floats(spark, sf_dir).select("chunk_id", "document", vector.quantized(F.col("embedding")).alias("embedding"))
+
+
+def vector_plane(spark: SparkSession, sf_dir: str) -> plane.Plane:
+    """The stored plane of all vectors: built by the first query that asks for it."""
+    return store.once(spark, "plane", [f"{sf_dir}/embeddings.parquet"], lambda p: plane.build(_floats(spark, sf_dir).drop("document"), p), lambda p: plane.Plane(spark, p))
 
 
 _Q = """with n as (select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings),
@@ -188,18 +223,41 @@ _TOP = _Q + f", s as (select a.chunk_id, a.document, {_DOT.format('a.e', 'b.e')}
 
 @query(_TOP + ", r as (select chunk_id, raw, row_number() over (order by raw desc, chunk_id) as rank from s) select chunk_id, raw, round(raw / 16129.0, 9) as score, rank from r where rank <= 50")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact nearest vectors by integer inner product."""
-    v = _vectors(spark, sf_dir)
-    seed = list(v.where("chunk_id = 7").first().embedding)
-    return vector.nearest(v, seed, 50).select("chunk_id", "raw", F.round("score", 9).alias("score"), "rank")
+    """Exact nearest vectors by integer inner product, from the stored plane."""
+    held = vector_plane(spark, sf_dir)
+    return held.nearest("embeddings", held.vector("embeddings", 7), 50).select("chunk_id", "raw", F.round("score", 9).alias("score"), "rank")
 
 
 @query(_TOP + ", r as (select chunk_id, raw, row_number() over (order by raw desc, chunk_id) as rank from s where document % 2 = 0) select chunk_id, raw, rank from r where rank <= 50")
 def vector_topk_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same among eligible rows only, in whole-stage generated code."""
+    """The same among eligible rows only: bitmaps of the blocks of the stored plane."""
+    held = vector_plane(spark, sf_dir)
+    eligible = table(spark, sf_dir, "embeddings").where("label % 2 = 0").select(F.col("vec_id").alias("chunk_id"))
+    return held.nearest("embeddings", held.vector("embeddings", 7), 50, eligible).select("chunk_id", "raw", "rank")
+
+
+@query(_TOP + ", r as (select chunk_id, raw, row_number() over (order by raw desc, chunk_id) as rank from s) select chunk_id, raw, rank from r where rank <= 50")
+def vector_topk_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without a plane: vectors are quantised and multiplied in whole-stage generated code."""
     v = _vectors(spark, sf_dir)
     seed = list(v.where("chunk_id = 7").first().embedding)
-    return vector.nearest(v, seed, 50, eligible=v.where("document % 2 = 0"), numpy=False).select("chunk_id", "raw", "rank")
+    return vector.nearest(v, seed, 50, numpy=False).select("chunk_id", "raw", "rank")
+
+
+@query(_TOP + ", r as (select chunk_id, raw, row_number() over (order by raw desc, chunk_id) as rank from s where chunk_id between 100 and 299) select chunk_id, raw, rank from r where rank <= 20")
+def vector_topk_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scope that is one document: a range of chunk ids, so blocks outside it are not read."""
+    held = vector_plane(spark, sf_dir)
+    return held.nearest("embeddings", held.vector("embeddings", 7), 20, between=(100, 299)).select("chunk_id", "raw", "rank")
+
+
+@query("select 'embeddings' as source_id, count(*) as n, min(vec_id) as first_id, max(vec_id) as last_id, any_value(len(embedding)) as dim, 0::bigint as faults from embeddings")
+def plane_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored plane against the vectors of the table: bounds, and blocks that differ (none)."""
+    held = vector_plane(spark, sf_dir)
+    faults = held.binding_faults(_floats(spark, sf_dir)).groupBy("source_id").agg(F.count("*").alias("faults"))
+    told = spark.read.parquet(f"{held.path}/sources")
+    return told.join(faults, "source_id", "left").select("source_id", "n", "first_id", "last_id", "dim", F.coalesce("faults", F.lit(0)).alias("faults"))
 
 
 @query(_TOP + ", r as (select chunk_id, raw, row_number() over (order by raw desc, chunk_id) as rank from s) select chunk_id, raw, rank from r where rank <= 20 and chunk_id <> 7")
@@ -213,11 +271,10 @@ _HYBRID = _oracle_bm25(TERMS, _TOP.replace("with n as", _DOC_TOKENS + ", n as")
 
 
 def _two_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    v = _vectors(spark, sf_dir)
-    seed = list(v.where("chunk_id = 7").first().embedding)
-    near = vector.nearest(v, seed, ranking.frontier(10)).select("chunk_id", "rank")
-    scored = lexical.scan_bm25(_english(spark, sf_dir).drop("text"), F.col("toks"), TERMS)
-    return near, lexical.top(scored, ranking.frontier(10), "doc_id").select(F.col("doc_id").alias("chunk_id"), "rank")
+    held, limit = vector_plane(spark, sf_dir), ranking.frontier(10)
+    near = held.nearest("embeddings", held.vector("embeddings", 7), limit).select("chunk_id", "rank")
+    words = text_index(spark, sf_dir).search(SOURCE, [[x] for x in TERMS], limit)
+    return near, words.select(F.col("row_id").alias("chunk_id"), "rank")
 
 
 @query(_HYBRID + " select chunk_id, round(score, 12) as score, row_number() over (order by round(score, 12) desc, chunk_id) as rank from f")
@@ -238,9 +295,8 @@ _META = ", g as (select f.chunk_id, round(f.score, 12) as score, d.source as doc
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole hybrid search: two lists, fusion, metadata of the candidates only, diversity, cut."""
     fused = ranking.rrf(*_two_lists(spark, sf_dir)).withColumn("score", F.round("score", 12))
-    # at most two frontiers of candidates: their metadata are joined late, to a broadcast of proven size
     meta = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document"), (F.length("text") < 400).alias("is_intro"))
-    found = meta.join(F.broadcast(fused), "chunk_id")
+    found = ranking.with_metadata(fused, meta)
     return ranking.diverse(found, 10).select("chunk_id", "document", "rank")
 
 
@@ -271,10 +327,10 @@ def intro_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best window of each English document for a query, for the winners only."""
-    scored = lexical.scan_bm25(_english(spark, sf_dir), F.col("toks"), TERMS)
-    best = lexical.top(scored, 10, "doc_id")
-    return best.select("doc_id", "rank", snippet_col(F.col("text"), " ".join(TERMS)).alias("snippet"))
+    """Best window of each document for a query, for the winners only."""
+    best = text_index(spark, sf_dir).search(SOURCE, [[x] for x in TERMS], 10).withColumnRenamed("row_id", "doc_id")
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(best), "doc_id")
+    return texts.select("doc_id", "rank", snippet_col(F.col("text"), " ".join(TERMS)).alias("snippet"))
 
 
 @query("with r as (select o_orderkey, o_custkey, o_totalprice, row_number() over (order by o_totalprice desc, o_orderkey) as rank from orders) select r.rank, r.o_orderkey, c.c_name, round(r.o_totalprice, 2) as price from r join customer c on c.c_custkey = r.o_custkey where r.rank <= 20")
