@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestack.operators.crawl import closure
+
 CITED_BY_LIMIT = 100
 CHUNK_IDS, CHARS, CHARS_HARD, CONTEXT = 100, 50_000, 200_000, 20
 DEFINITIONS, MAX_DEFINITIONS, LEAST_DEFINITIONS = 100, 20, 5
@@ -102,8 +104,8 @@ def table_digest(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"), (F.sum(head) % F.lit((1 << 61) - 1).cast("decimal(38,0)")).cast("bigint").alias("digest"))
 
 
-def descendants(nodes: DataFrame, ident: str, parent: str, rounds: int = 32) -> DataFrame:
-    """(ancestor, node) pairs of a tree, itself included: one join a level, until a level is empty."""
+def descendants(nodes: DataFrame, ident: str, parent: str, rounds: int = 8) -> DataFrame:
+    """(ancestor, node) pairs of a tree, itself included: one join a level for shallow trees, doubled paths for those deeper than ``rounds``."""
     pairs = nodes.select(F.col(ident).alias("ancestor"), F.col(ident).alias("node"))
     edges = nodes.where(F.col(parent).isNotNull()).select(F.col(ident).alias("child"), F.col(parent).alias("node"))
     level, out = pairs, pairs
@@ -112,7 +114,7 @@ def descendants(nodes: DataFrame, ident: str, parent: str, rounds: int = 32) ->
         if level.isEmpty():
             return out
         out = out.union(level)
-    raise ValueError("tree is deeper than allowed, or has a cycle")
+    return closure(nodes, ident, parent).select("ancestor", "node")
 
 
 def newest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:

@@ -229,12 +229,6 @@ def united_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return acquire.united(n.select(F.col("n_name").alias("title"), a), r.select(F.col("r_name").alias("title"), a), n.select(F.when(F.col("n_nationkey") % 2 == 0, "a").otherwise("b").alias("kind"), F.col("n_name").alias("title")))
 
 
-@query("select o_custkey, o_orderkey, floor((row_number() over (partition by o_custkey order by o_orderkey) - 1) / 5)::bigint as page from orders where o_orderdate < timestamp '1999-01-01'")
-def keyset_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
-    return acquire.keyset_pages(o, ["o_custkey", "o_orderkey"], F.col("o_orderdate") < F.lit("1999-01-01").cast("timestamp"), 5).drop("o_orderdate")
-
-
 @query("select c_custkey, o_orderkey, 'version' as kind from customer join orders on o_custkey = c_custkey union all select c_custkey, null, 'none' from customer where c_custkey not in (select o_custkey from orders)")
 def titles_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey")

@@ -269,15 +269,6 @@ def united(*tables: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), tables).distinct()
 
 
-def keyset_pages(rows: DataFrame, order: list[str], upper: Column, size: int) -> DataFrame:
-    """The rows up to a fixed upper bound with the page each would come on, in ``order``.
-
-    Pages are numbered per leading key, so no order over all rows is needed.
-    """
-    place = F.row_number().over(Window.partitionBy(order[0]).orderBy(*order[1:])) - 1
-    return rows.where(upper).withColumn("page", F.floor(place / size).cast("long"))
-
-
 def titles_with_versions(titles: DataFrame, versions: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Titles with their versions, and the titles that have none."""
     return titles.join(versions, key), titles.join(versions.select(key).distinct(), key, "left_anti")
