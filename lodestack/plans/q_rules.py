@@ -1,89 +1,102 @@
-"""Queries on heading shapes, templates, titles and dates."""
+"""Queries on heading shapes, templates, titles and dates: documents composed of each order's own numbers, names and dates."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.functions import rules
-from lodestack.plans.q_acquire import _pick, _picked
+from lodestack.functions import headings, metadata
 from lodestack.plans.registry import query, table
 
-#: Headings and the shape that each has.
+#: A heading of each shape, from a line's order (n), part (p), quantity (q) and year (y), in SQL that both engines read.
 _HEADINGS = {
-    "": "empty",
-    "Taxation  Ruling": "ruling_phrase",
-    "Practical compliance guidelines": "guideline_phrase",
-    "Taxpayer Alert": "alert_phrase",
-    "ATO Interpretative Decision": "decision_phrase",
-    "Law Administration Practice Statement": "practice_phrase",
-    "SMSF Regulators Bulletin": "bulletin_phrase",
-    "Decision impact statement": "impact_phrase",
-    "Explanatory Memorandum": "memorandum_phrase",
-    "TR 2001/D3 (withdrawn)": "ruling",
-    "IT 2650": "ruling_bare",
-    "ATO ID 2003/12": "decision",
-    "PS LA 1998/1": "practice",
-    "SMSFRB 2018/1": "bulletin",
-    "[1999] HCA 12": "neutral",
-    "Smith and Sons Pty Ltd v. The Commissioner": "versus",
-    "In the matter of Jones": "in_re",
-    "Case 12/97": "case_number",
-    "Income Tax Assessment Act 1997": "act",
-    "Tax Laws Amendment Bill 2005": "bill",
-    "Summary of the matter": "other",
+    "empty": "case when p % 2 = 0 then '' else '  ' end",
+    "neutral": "concat('[', y, '] HCA ', n)",
+    "decision": "concat('ATO ID ', y, '/', n)",
+    "practice": "concat('PS LA ', y, '/', n, ' about ', p)",
+    "bulletin": "concat('SMSFRB ', y, '/', n)",
+    "ruling": "concat('TR ', y, '/D', n, ' (withdrawn)')",
+    "numbered": "concat('IT  ', n % 10000, ' - residency')",
+    "ruling_kind": "case when p % 2 = 0 then 'Taxation  Ruling' else 'GST ruling' end",
+    "guideline_kind": "'Practical compliance guidelines'",
+    "alert_kind": "'Taxpayer Alert'",
+    "decision_kind": "'ATO Interpretative Decision'",
+    "practice_kind": "'Law Administration Practice Statement'",
+    "bulletin_kind": "'SMSF Regulators Bulletin'",
+    "impact_kind": "'Decision impact statement'",
+    "memorandum_kind": "'Explanatory Memorandum'",
+    "act": "concat('Part ', p, ' Assessment Act ', y)",
+    "bill": "concat('Laws Amendment (No. ', n, ') Bill ', y)",
+    "matter": "concat('In the matter of Part ', p)",
+    "case_number": "concat('Case ', n, '/', y % 100)",
+    "versus": "concat('Part ', p, ' Pty Ltd v. The Commissioner ', n)",
+    "subject": "concat('Summary of ', n, ', ', p, ' and ', q)",
 }
+_LINE = "l_orderkey as n, l_partkey as p, l_linenumber as q, year(l_shipdate) as y"
+
 
+def _one_of(key: str, values: list[str]) -> str:
+    return f"case {key} " + " ".join(f"when {i} then {v}" for i, v in enumerate(values)) + " end"
 
-@query(f"select l_orderkey, l_linenumber, {_pick('l_partkey', list(_HEADINGS.values()))} as shape from lineitem")
+
+@query(f"select n, q, {_one_of('p % 21', [repr(s) for s in _HEADINGS])} as shape from (select {_LINE} from lineitem)")
 def heading_shapes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All 21 shapes."""
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", rules.shape_col(_picked("l_partkey", list(_HEADINGS))).alias("shape"))
+    """All 21 shapes, of headings made of each line's own values."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr(*_LINE.split(", ")).selectExpr("n", "q", f"{_one_of('p % 21', list(_HEADINGS.values()))} as text")
+    return rows.select("n", "q", headings.shape(headings.plain(F.col("text"))).alias("shape"))
+
 
+@query("""with l as (select l_orderkey as n, l_linenumber as q, year(l_shipdate) as y, l_partkey % 5 as k from lineitem)
+select n, q, case k when 0 then concat('TR ', y, '/', n) when 1 then concat('LCR ', y % 100, '/D', n, 'EC') when 2 then concat('[', y, '] FCA ', n) when 3 then concat('other ', n) else concat('PS LA ', y, '/', n) end as clean,
+ case k when 0 then y when 1 then 1900 + y % 100 when 2 then y when 4 then y end::int as year from l""")
+def clean_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations in one spelling, without the remark that they were withdrawn, and the years that they name."""
+    raw = "case l_partkey % 5 when 0 then concat('TR ', y, '/', n, ' (Withdrawn)') when 1 then concat(' LCR ', y % 100, '/D', n, 'EC ( withdrawn )') when 2 then concat('[', y, '] FCA ', n, ' at 3') when 3 then concat('other  ', n) else concat('PS LA ', y, '/', n, ' (WITHDRAWN)') end"
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as n", "l_linenumber as q", "year(l_shipdate) as y", "l_partkey").selectExpr("n", "q", f"{raw} as raw")
+    clean = headings.clean_citation(F.col("raw"))
+    return rows.select("n", "q", clean.alias("clean"), headings.cited_year(clean).alias("year"))
 
-#: id, headings, folder, beginning of the text; then template, title and date.
+
+#: Of each template: id, headings, folder, body, published; then the template, title and date that follow. n: order, c: customer, p: priority, y: year, d: day in words, iso: day.
+_COUNT = 14
 _DOCUMENTS = [
-    ("TXR/TR20013/NAT", "Taxation Ruling|TR 2001/3|Income tax: losses", "", "", "publication", "TR 2001/3 — Income tax: losses", "2001-01-01"),
-    ("TXR/TR20013/NAT", "TR 2001/3 (Withdrawn)|Losses", "", "Issued 4 March 2002 by us", "publication", "TR 2001/3 (Withdrawn) — Losses", "2002-03-04"),
-    ("ITR/IT2650", "IT 2650 - residency|Residency", "", "", "publication", "IT 2650 — Residency", ""),
-    ("JUD/1999ATC1", "[1999] HCA 12|Smith v Jones", "", "", "case", "[1999] HCA 12", "1999-01-01"),
-    ("JUD/X", "Smith v. Jones [2001] HCA 3", "", "(1987) 12 ATR text", "case", "Smith v Jones", "1987-01-01"),
-    ("JUD/*1954*27ALJ", "A heading", "", "", "old_case", "A heading", "1954-01-01"),
-    ("PAC/19970038/955-5", "Income Tax Assessment Act 1997", "", "", "section", "Income Tax Assessment Act 1997 s 955-5", "1997-01-01"),
-    ("REG/19990012/4", "Part one", "", "", "section", "Regulations 1999 reg 4", "1999-01-01"),
-    ("DIS/1", "Decision impact statement|Smith v Jones", "", "", "impact", "DIS: Smith v Jones", ""),
-    ("ACT/1", "Fuel Tax Act 2006", "", "", "act", "Fuel Tax Act 2006", "2006-01-01"),
-    ("NEM/1", "Tax Laws Amendment Bill 2005|Notes", "", "", "bill", "EM to Tax Laws Amendment Bill 2005", "2005-01-01"),
-    ("SRB/1", "SMSF Regulator's Bulletin|SMSFRB 2018/1|Reserves", "", "", "bulletin", "SMSFRB 2018/1 — Reserves", "2018-01-01"),
-    ("EV/1012345", "Edited version", "Edited_private_advice", "Date of advice: 7 May 2015.", "advice", "EV 1012345", "2015-05-07"),
-    ("AID/AID20035", "Subject", "", "", "other", "Subject", "2003-01-01"),
-    ("ZZ/Q", "", "", "", "other", "ZZ Q", ""),
-    ("JUD/Z", "Front|Smith v Jones", "Cases", "", "case_below", "Smith v Jones", ""),
-]
-
-
-def _column(i: int) -> Column:
-    return _picked("o_orderkey", [d[i] for d in _DOCUMENTS])
-
-
-@query(f"select o_orderkey, {_pick('o_orderkey', [d[4] for d in _DOCUMENTS])} as template from orders")
-def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All eleven templates, as Columns."""
-    return table(spark, sf_dir, "orders").select("o_orderkey", rules.template_col(_column(0), F.split(_column(1), r"\|"), _column(2)).alias("template"))
+    ("concat('TXR/TR', y, n, '/NAT')", "'Taxation Ruling', concat('TR ', y, '/', n), concat('About ', p)", "''", "''", "publication", "concat('TR ', y, '/', n, ' — About ', p)", "concat(y, '-01-01')"),
+    ("concat('TXR/TR', y, n)", "concat('TR ', y, '/', n, ' (Withdrawn)'), concat('About ', p)", "''", "concat('Issued ', d, ' by us')", "publication", "concat('TR ', y, '/', n, ' (Withdrawn) — About ', p)", "iso"),
+    ("concat('ITR/IT', n)", "concat('IT ', n % 9999, ' - residency'), concat('About ', c)", "''", "''", "publication", "concat('IT ', n % 9999, ' — About ', c)", "iso"),
+    ("concat('JUD/', c)", "concat('Smith', c, ' v. Jones [', y, '] HCA ', n)", "''", "concat('(', y, ') 12 ATR text')", "case", "concat('Smith', c, ' v Jones')", "concat(y, '-01-01')"),
+    ("concat('JUD/*', y, '*', n)", "concat('A heading ', p)", "''", "''", "old_case", "concat('A heading ', p)", "concat(y, '-01-01')"),
+    ("concat('PAC/', y, lpad(cast(n % 10000 as varchar(9)), 4, '0'), '/', c)", "concat('Income Tax Act ', y)", "''", "''", "section", "concat('Income Tax Act ', y, ' s ', c)", "concat(y, '-01-01')"),
+    ("concat('REG/', y, '0012/', c)", "concat('Part ', c)", "''", "''", "section", "concat('Regulations ', y, ' reg ', c)", "concat(y, '-01-01')"),
+    ("concat('DIS/D', n)", "'Decision impact statement', concat('Smith', c, ' v Jones')", "''", "''", "impact", "concat('DIS: Smith', c, ' v Jones')", "iso"),
+    ("concat('NEM/', n)", "concat('Tax Laws Bill ', y), 'Notes'", "''", "''", "bill", "concat('EM to Tax Laws Bill ', y)", "concat(y, '-01-01')"),
+    ("concat('SRB/', n)", "'SMSF Regulator''s Bulletin', concat('SMSFRB ', y, '/', n), concat('About ', p)", "''", "''", "bulletin", "concat('SMSFRB ', y, '/', n, ' — About ', p)", "concat(y, '-01-01')"),
+    ("concat('EV/', n)", "'Edited version'", "'Edited_private_advice'", "concat('Date of advice: ', d, '.')", "advice", "concat('EV ', n)", "iso"),
+    ("concat('ACT/', n)", "concat('Fuel Act ', y)", "''", "concat('Made ', d)", "act", "concat('Fuel Act ', y)", "concat(y, '-01-01')"),
+    ("concat('ZZ/Q', n)", "concat('Top ', p), concat('Sub ', c)", "''", "''", "other", "concat('Top ', p, ' — Sub ', c)", "iso"),
+    ("concat('JUD/Z', n)", "concat('Front ', p), concat('Smith', c, ' v Jones')", "'Cases'", "concat('[', y, '] HCA ', n)", "case_below", "concat('Smith', c, ' v Jones')", "concat(y, '-01-01')"),
+]
+
 
+def _sql(i: int) -> str:
+    return _one_of(f"n % {_COUNT}", [d[i] for d in _DOCUMENTS])
 
-@query(f"select o_orderkey, {_pick('o_orderkey', [d[5] for d in _DOCUMENTS])} as title, nullif({_pick('o_orderkey', [d[6] for d in _DOCUMENTS])}, '') as date from orders")
+
+_ORDER = "select o_orderkey as n, o_custkey as c, o_orderpriority as p, year(o_orderdate) as y, strftime(o_orderdate, '%-d %B %Y') as d, strftime(o_orderdate, '%Y-%m-%d') as iso from orders"
+
+
+@query(f"select n, {_one_of(f'n % {_COUNT}', [repr(d[4]) for d in _DOCUMENTS])} as template, {_sql(5)} as title, {_sql(6)} as date from ({_ORDER})")
 def derived_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Title and date by template."""
-    heads = F.split(_column(1), r"\|")
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", _column(0).alias("id"), heads.alias("heads"), _column(2).alias("folder"), _column(3).alias("body"), rules.template_col(_column(0), heads, _column(2)).alias("template"))
+    """Template, title and date of documents of all templates, whose parts are each order's own values."""
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey as n", "o_custkey as c", "o_orderpriority as p", "year(o_orderdate) as y", "date_format(o_orderdate, 'd MMMM yyyy') as d", "date_format(o_orderdate, 'yyyy-MM-dd') as iso")
+    heads = _one_of(f"n % {_COUNT}", [f"array({x[1]})" for x in _DOCUMENTS])
+    docs = o.selectExpr("n", f"{_sql(0)} as native_id", f"{heads.replace(chr(39) * 2, chr(92) + chr(39))} as headings", f"{_sql(2)} as category", f"{_sql(3)} as body", "iso as published")
+    return metadata.derive(docs.withColumn("levels", F.transform("headings", lambda _, i: i + 1)), "n")
+
+
+@query(f"with o as ({_ORDER}), t as (select {_one_of(f'n % {_COUNT}', [repr(d[4]) for d in _DOCUMENTS])} as template, y from o) select template, count(*) as n, min(y)::int as first_year from t group by template")
+def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents each template has, and the earliest year among them."""
+    years = table(spark, sf_dir, "orders").selectExpr("o_orderkey as n", "year(o_orderdate) as y")
+    return derived_metadata(spark, sf_dir).join(years, "n").groupBy("template").agg(F.count("*").alias("n"), F.min("y").alias("first_year"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [rules.derived(rules.Document(r["id"], r["template"], r["heads"], list(range(1, len(r["heads"]) + 1)), r["body"], r["folder"] or None)) for r in b.to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t for t, _ in found], pa.string()), pa.array([d for _, d in found], pa.string())], names=["o_orderkey", "title", "date"])
 
-    return rows.mapInArrow(run, "o_orderkey long, title string, date string")
