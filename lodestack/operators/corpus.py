@@ -49,18 +49,19 @@ def cited_by(citations: DataFrame, docs: DataFrame, limit: int = CITED_BY_LIMIT)
     return placed.where(F.col("rank") <= limit)
 
 
-def neighbours(requests: DataFrame, chunks: DataFrame, before: int, after: int, doc: str, ord_: str) -> DataFrame:
+def neighbours(requests: DataFrame, chunks: DataFrame, before: int, after: int, doc: str, ord_: str, bounded: bool = False) -> DataFrame:
     """Requested chunks with their context, each once, in the order of requests.
 
     A neighbour that is itself asked for later waits for its own place.
-    requests: seq, doc, ord.
+    requests: seq, doc, ord; ``bounded`` says that their number is checked, so
+    that they may be broadcast.
     """
     asked = requests.select("seq", doc, F.col(ord_).alias("center"))
     spread = asked.withColumn(ord_, F.explode(F.sequence(F.greatest(F.col("center") - min(before, CONTEXT), F.lit(0).cast("bigint")), F.col("center") + min(after, CONTEXT))))
     own = asked.groupBy(doc, F.col("center").alias(ord_)).agg(F.min("seq").alias("own_seq"))
     spread = spread.join(own, [doc, ord_], "left").where("own_seq is null or own_seq <= seq or center = " + ord_)
     first = spread.groupBy(doc, ord_).agg(F.min(F.struct("seq", "center")).alias("s"))
-    return chunks.join(F.broadcast(first), [doc, ord_]).select(doc, ord_, F.col("s.seq").alias("seq"), *[c for c in chunks.columns if c not in (doc, ord_)])
+    return chunks.join(F.broadcast(first) if bounded else first, [doc, ord_]).select(doc, ord_, F.col("s.seq").alias("seq"), *[c for c in chunks.columns if c not in (doc, ord_)])
 
 
 def budgeted(rows: DataFrame, text: str, order: list[str], budget: int, by: list[str] | None = None) -> DataFrame:

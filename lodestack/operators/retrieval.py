@@ -8,40 +8,49 @@ from pyspark.sql import functions as F
 from lodestack.functions.text import definition_term
 from lodestack.ident import ChunkRef, DocUri, decode_cursor, encode_cursor
 from lodestack.operators import corpus
+from lodestack.sources import listings
 
 
 def get_chunks(chunks: DataFrame, refs: list[ChunkRef], before: int = 0, after: int = 0, max_chars: int = corpus.CHARS, cursor: str | None = None) -> tuple[DataFrame, str | None]:
     """Chunks in the order asked for, with neighbours, within a budget of characters; and a cursor to go on from.
 
-    A cursor belongs to the exact arguments that made it.
+    A cursor belongs to the exact arguments that made it. It names the chunk
+    where the page before ended and the character in it, so a page reads that
+    chunk and later ones only.
     """
     if not 1 <= len(refs) <= corpus.CHUNK_IDS:
         raise ValueError(f"1 to {corpus.CHUNK_IDS} chunks")
     if not 0 <= before <= corpus.CONTEXT or not 0 <= after <= corpus.CONTEXT or not 1 <= max_chars <= corpus.CHARS_HARD:
         raise ValueError("context or budget out of bounds")
     args = {"refs": [str(r) for r in refs], "before": before, "after": after, "max_chars": max_chars}
-    offset = 0
+    at = [0, -1, 0]
     if cursor:
         state = decode_cursor(cursor)
-        offset = state.pop("offset", -1)
-        if state != args or not isinstance(offset, int) or offset < 0:
+        at = state.pop("at", None) if isinstance(state, dict) else None
+        if state != args or not (isinstance(at, list) and len(at) == 3 and all(isinstance(x, int) and x >= -1 for x in at)):
             raise ValueError("cursor of another request")
     spark = chunks.sparkSession
-    asked = spark.createDataFrame([(i, r.source, r.chunk_id) for i, r in enumerate(refs)], "seq long, source_id string, chunk_id long")
-    found = chunks.join(F.broadcast(asked), ["source_id", "chunk_id"]).select("seq", F.struct("source_id", "native_id").alias("doc"), "ord").cache()
-    if found.count() < len(set(args["refs"])):
-        raise ValueError("unknown chunk")
-    rows = chunks.withColumn("doc", F.struct("source_id", "native_id"))
+    # documents and places of at most 100 chunks; their ids go into the scan's filter
+    sources, ids = sorted({r.source for r in refs}), sorted({r.chunk_id for r in refs})
+    known = {(r.source_id, r.chunk_id): (r.native_id, r.ord) for r in chunks.where(F.col("source_id").isin(sources) & F.col("chunk_id").isin(ids)).select("source_id", "chunk_id", "native_id", "ord").collect()}
+    lost = [str(r) for r in refs if (r.source, r.chunk_id) not in known]
+    if lost:
+        raise ValueError(f"unknown chunk {', '.join(lost)}")
+    found = spark.createDataFrame([(i, r.source, *known[r.source, r.chunk_id]) for i, r in enumerate(refs)], "seq long, source_id string, native_id string, ord long").select("seq", F.struct("source_id", "native_id").alias("doc"), "ord")
+    mine = chunks.where(F.col("source_id").isin(sources) & F.col("native_id").isin(sorted({n for n, _ in known.values()})))
     # at most 100 requests of 41 chunks
-    near = corpus.neighbours(found, rows, before, after, "doc", "ord").orderBy("seq", "ord").limit(corpus.CHUNK_IDS * (2 * corpus.CONTEXT + 1))
+    near = corpus.neighbours(found, mine.withColumn("doc", F.struct("source_id", "native_id")), before, after, "doc", "ord", bounded=True)
+    left = near.where((F.col("seq") > at[0]) | (F.col("seq") == at[0]) & (F.col("ord") >= at[1]))
+    start = F.when((F.col("seq") == at[0]) & (F.col("ord") == at[1]), F.lit(at[2])).otherwise(F.lit(0)).cast("bigint")
     w = Window.orderBy("seq", "ord").rowsBetween(Window.unboundedPreceding, 0)
-    placed = near.withColumn("length", F.length("text").cast("bigint")).withColumn("start", F.sum("length").over(w) - F.col("length"))
-    total = placed.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first().n
-    begin = F.greatest(F.lit(0), F.lit(offset) - F.col("start"))
-    end = F.least(F.col("length"), F.lit(offset + max_chars) - F.col("start"))
-    cut = placed.withColumn("from", begin).withColumn("to", end).where("to > from or (length = 0 and start >= %d and start < %d)" % (offset, offset + max_chars))
-    out = cut.withColumn("text", F.substring("text", F.col("from").cast("int") + 1, (F.col("to") - F.col("from")).cast("int")))
-    more = encode_cursor({**args, "offset": offset + max_chars}) if total > offset + max_chars else None
+    placed = left.withColumn("from", start).withColumn("length", F.length("text").cast("bigint")).withColumn("ahead", F.sum(F.col("length") - F.col("from")).over(w) - (F.col("length") - F.col("from")))
+    end = F.least(F.col("length"), F.col("from") + F.lit(max_chars) - F.col("ahead"))
+    told = placed.withColumn("to", end).select("seq", "source_id", "native_id", "chunk_id", "ord", "anchor", "from", "to", "length", "ahead", "text")
+    page = told.where((F.col("to") > F.col("from")) | (F.col("length") == F.col("from")) & (F.col("ahead") < max_chars))
+    # where the page after this one begins: the first chunk that isn't whole
+    rest = told.where((F.col("to") < F.col("length")) | (F.col("ahead") >= max_chars) & (F.col("length") == F.col("from"))).select("seq", "ord", F.greatest("from", "to").alias("from")).orderBy("seq", "ord").first()
+    more = encode_cursor({**args, "at": [rest.seq, rest.ord, rest["from"]]}) if rest else None
+    out = page.withColumn("text", F.substring("text", F.col("from").cast("int") + 1, (F.col("to") - F.col("from")).cast("int")))
     return out.select("seq", "source_id", "native_id", "chunk_id", "ord", "anchor", "text", F.when(F.col("from") > 0, F.col("from")).alias("resumed_at"), F.when(F.col("to") < F.col("length"), F.col("to")).alias("cut_at")), more
 
 
@@ -51,12 +60,35 @@ def get_asset(assets: DataFrame, source: str, asset_id: str) -> DataFrame:
     return mine.select("asset_id", "native_id", F.coalesce("alt", "title").alias("caption"), "media_type", "sha256", F.base64("data").alias("data"))
 
 
-def get_doc_anchors(anchors: DataFrame, documents: DataFrame, citations: DataFrame, source: str, native_id: str) -> DataFrame:
+def links_within(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(source_id, native_id, ord, label, target_chunk_id) of links in stored HTML to a chunk of the same document.
+
+    A link's fragment leads to the first chunk that bears it as its anchor; of
+    links with one label to one chunk the first counts.
+    """
+    doc = ["source_id", "native_id"]
+    each = documents.select(F.struct(*doc).alias("doc"), "html")
+    links = listings.pieces(each, "doc", F.col("html"), listings.LINKS).withColumn("href", listings.attribute(F.col("piece"), "href")).where(F.col("href").startswith("#") & (F.length("href") > 1))
+    named = links.select("doc.*", F.col("place").cast("long").alias("ord"), listings.text_of(F.col("piece")).alias("label"), F.expr("substring(href, 2)").alias("anchor"))
+    first = chunks.where(F.col("anchor").isNotNull()).groupBy(*doc, "anchor").agg(F.min_by("chunk_id", "ord").alias("target_chunk_id"))
+    told = named.join(first, [*doc, "anchor"])
+    return told.groupBy(*doc, "label", "target_chunk_id").agg(F.min("ord").alias("ord")).select(*doc, "ord", "label", "target_chunk_id")
+
+
+def get_doc_anchors(anchors: DataFrame, documents: DataFrame, citations: DataFrame, source: str, native_id: str, chunks: DataFrame | None = None) -> DataFrame:
     """One row: links within, related documents, other versions and citing documents, each as an array in order.
 
-    The number of citing documents is given only if not all are listed.
+    The number of citing documents is given only if not all are listed. Where no
+    link within is on record, those of the stored HTML are told, if ``chunks``
+    are given. An unknown document is an error.
     """
-    mine = anchors.where((F.col("source_id") == source) & (F.col("native_id") == native_id))
+    own = (F.col("source_id") == source) & (F.col("native_id") == native_id)
+    if documents.where(own).limit(1).isEmpty():
+        raise ValueError(f"unknown document {source}:{native_id}")
+    mine = anchors.where(own)
+    if chunks is not None and mine.where("kind = 'in_doc'").limit(1).isEmpty():
+        within = links_within(documents.where(own), chunks.where(own))
+        mine = mine.unionByName(within.withColumn("kind", F.lit("in_doc")), allowMissingColumns=True)
     names = documents.select(F.col("source_id").alias("target_source_id"), F.col("native_id").alias("target_native_id"), F.col("title").alias("target_title"))
     told = mine.join(names, ["target_source_id", "target_native_id"], "left")
     entry = F.struct("ord", "label", "target_source_id", "target_native_id", "target_chunk_id", "target_pit", "target_title")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from lodestack.functions.snippet import snippet_col
 from lodestack.operators import filters, lexical, ranking, vector
+from lodestack.operators.lexstore import LexicalStore
+from lodestack.operators.plane import Plane
 
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 TITLE_HITS = 10
@@ -64,10 +67,19 @@ class SearchOptions:
 class Engine:
     """Search over a corpus: documents, chunks, a chunk index, a title index and chunk vectors (as in :mod:`lodestack.schema`)."""
 
-    def __init__(self, documents: DataFrame, chunks: DataFrame, chunk_index: tuple[DataFrame, DataFrame], title_index: tuple[DataFrame, DataFrame] | None = None, embeddings: DataFrame | None = None, provider: EmbeddingProvider | None = None) -> None:
-        self.documents, self.chunks = documents, chunks
-        self.postings, self.rows = chunk_index
-        self.titles, self.embeddings, self.provider = title_index, embeddings, provider
+    def __init__(
+        self,
+        documents: DataFrame,
+        chunks: DataFrame,
+        chunk_index: tuple[DataFrame, DataFrame] | LexicalStore,
+        title_index: tuple[DataFrame, DataFrame] | None = None,
+        embeddings: DataFrame | Plane | None = None,
+        provider: EmbeddingProvider | None = None,
+        phrases: Callable[[str], list[list[str]]] = lexical.query_phrases,
+    ) -> None:
+        """Index and vectors may be tables or stored structures; ``phrases`` must be the tokeniser that the index was made with."""
+        self.documents, self.chunks, self.index = documents, chunks, chunk_index
+        self.titles, self.embeddings, self.provider, self.phrases = title_index, embeddings, provider, phrases
 
     @classmethod
     def build(cls, documents: DataFrame, chunks: DataFrame, embeddings: DataFrame | None = None, provider: EmbeddingProvider | None = None) -> Engine:
@@ -83,16 +95,22 @@ class Engine:
 
     def keyword(self, query: str, source: str, pool: DataFrame, limit: int) -> DataFrame:
         """Statistics of the whole source; the filter applies before the cut."""
-        of = lambda df: df.where(F.col("source_id") == source)
-        scored = lexical.bm25(of(self.postings), of(self.rows), lexical.query_phrases(query)).withColumnRenamed("row_id", "chunk_id")
+        if isinstance(self.index, LexicalStore):
+            return self.index.search(source, self.phrases(query), limit, pool.select(F.col("chunk_id").alias("row_id"))).withColumnRenamed("row_id", "chunk_id")
+        postings, rows = (df.where(F.col("source_id") == source) for df in self.index)
+        scored = lexical.bm25(postings, rows, self.phrases(query)).withColumnRenamed("row_id", "chunk_id")
         return lexical.top(scored.join(pool.select("chunk_id"), "chunk_id", "left_semi"), limit, "chunk_id").select("chunk_id", "score", "rank")
 
-    def near(self, vector_: list[int], pool: DataFrame, limit: int) -> DataFrame:
+    def near(self, vector_: list[int], source: str, pool: DataFrame, limit: int) -> DataFrame:
         if self.embeddings is None:
             raise ValueError("this corpus has no vectors")
+        if isinstance(self.embeddings, Plane):
+            return self.embeddings.nearest(source, vector_, limit, pool).select("chunk_id", "score", "rank")
         return vector.nearest(self.embeddings, vector_, limit, eligible=pool).select("chunk_id", "score", "rank")
 
     def _query_vector(self, query: str, options: SearchOptions) -> list[int]:
+        if options.similar_to is not None and isinstance(self.embeddings, Plane):
+            return self.embeddings.vector(options.source, options.similar_to)
         if options.similar_to is not None:
             found = self.embeddings.where(F.col("chunk_id") == options.similar_to).select("embedding").limit(2).collect()
             if len(found) != 1:
@@ -111,14 +129,13 @@ class Engine:
         pool = self.eligible(o)
         lists = []
         if o.mode in ("hybrid", "vector"):
-            lists.append(self.near(self._query_vector(query, o), pool, limit))
+            lists.append(self.near(self._query_vector(query, o), o.source, pool, limit))
         if o.mode in ("hybrid", "keyword"):
             lists.append(self.keyword(query, o.source, pool, limit))
         fused = ranking.rrf(*lists) if len(lists) > 1 else lists[0].select("chunk_id", "score")
         if o.similar_to is not None:
             fused = fused.where(F.col("chunk_id") != o.similar_to)
-        # two frontiers at most, so the candidates are a broadcast of proven size
-        found = pool.join(F.broadcast(fused), "chunk_id")
+        found = ranking.with_metadata(fused, pool)
         best = ranking.diverse(found, limit if o.sort_by == "recency" else o.k, o.max_per_doc)
         if o.sort_by == "recency":
             best = ranking.by_recency(best, o.k)
@@ -140,7 +157,7 @@ class Engine:
             raise ValueError("this corpus has no title index")
         of = lambda df: df.where(F.col("source_id") == source)
         direct = of(self.documents).where(F.col("native_id") == query.strip()).select("native_id", F.lit(None).cast("double").alias("score"), F.lit(0).alias("part"))
-        scored = lexical.bm25(of(self.titles[0]), of(self.titles[1]), lexical.query_phrases(query)).select(F.col("row_id").alias("native_id"), "score", F.lit(1).alias("part"))
+        scored = lexical.bm25(of(self.titles[0]), of(self.titles[1]), self.phrases(query)).select(F.col("row_id").alias("native_id"), "score", F.lit(1).alias("part"))
         best = lexical.top(scored, k, "native_id").drop("rank")
         both = direct.unionByName(best).withColumn("copy", F.row_number().over(Window.partitionBy("native_id").orderBy("part"))).where("copy = 1")
         order = [F.col("part"), F.col("score").desc(), F.col("native_id")]

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestack.plans import q_acquire, q_corpus, q_incremental, q_rules, q_runs, q_search, q_sources, q_text, registry
+from lodestack.plans import q_acquire, q_corpus, q_incremental, q_rules, q_runs, q_search, q_sources, q_text, q_tools, registry
 
-MODULES = (q_search, q_corpus, q_incremental, q_text, q_acquire, q_rules, q_runs, q_sources)
+MODULES = (q_search, q_corpus, q_incremental, q_text, q_acquire, q_rules, q_runs, q_sources, q_tools)
 
 
 def queries() -> dict[str, registry.Query]:

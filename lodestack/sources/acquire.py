@@ -311,11 +311,3 @@ def embedding_faults(rows: DataFrame, vector: str, dim: int, model: str, expecte
 def over_limit(tokens: Column, limit: int = 512) -> Column:
     """Inputs beyond the model's limit; they are errors, never cut."""
     return F.coalesce(tokens > limit, F.lit(True))
-
-
-def anchors_from_html(names: DataFrame, stored: DataFrame, chunks: DataFrame, doc: str) -> DataFrame:
-    """Anchor names that no chunk bears, found in the stored HTML: the first chunk whose text begins at or after them."""
-    known = names.join(chunks.select(doc, F.col("anchor").alias("name")).distinct(), [doc, "name"], "left_anti")
-    placed = known.join(stored, doc).withColumn("at", F.expr("locate(concat('id=\"', name, '\"'), html)"))
-    after = placed.where("at > 0").join(chunks.select(doc, "ord", "offset"), doc).where("offset >= at")
-    return after.groupBy(doc, "name").agg(F.min("ord").alias("ord"))

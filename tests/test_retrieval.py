@@ -1,6 +1,7 @@
 """Retrieval tools on a small corpus."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestack import schema
 from lodestack.ident import ChunkRef
@@ -36,6 +37,44 @@ def test_get_chunks(corpus):
         retrieval.get_chunks(corpus[1], [ChunkRef("g", "ato", 999)])
 
 
+def test_chunk_limits(corpus):
+    """Bounds, unknown and repeated references, foreign and broken cursors, and a budget that ends where a chunk ends."""
+    chunks, ref = corpus[1], lambda i: ChunkRef("g", "ato", i)
+    for bad in ({"refs": []}, {"refs": [ref(0)] * 101}, {"refs": [ref(0)], "before": 21}, {"refs": [ref(0)], "after": -1}, {"refs": [ref(0)], "max_chars": 0}, {"refs": [ref(0)], "max_chars": 200_001}):
+        with pytest.raises(ValueError):
+            retrieval.get_chunks(chunks, **bad)
+    for bad in ("zzz", "e30", "bnVsbA"):
+        with pytest.raises(ValueError, match="cursor"):
+            retrieval.get_chunks(chunks, [ref(0)], cursor=bad)
+    with pytest.raises(ValueError, match="g:other:0"):
+        retrieval.get_chunks(chunks, [ref(0), ChunkRef("g", "other", 0)])
+    twice, more = retrieval.get_chunks(chunks, [ref(12), ref(12), ref(11)], before=1)
+    assert [(r.seq, r.ord) for r in twice.orderBy("seq", "ord").collect()] == [(0, 2), (2, 0), (2, 1)] and more is None
+    text = chunks.where("chunk_id = 0").first().text
+    first, more = retrieval.get_chunks(chunks, [ref(0), ref(1)], max_chars=len(text))
+    assert [(r.text, r.cut_at) for r in first.collect()] == [(text, None)] and more
+    second, last = retrieval.get_chunks(chunks, [ref(0), ref(1)], max_chars=len(text), cursor=more)
+    assert [(r.chunk_id, r.resumed_at) for r in second.collect()] == [(1, None)] and last is None
+    part, more = retrieval.get_chunks(chunks, [ref(0)], max_chars=5)
+    assert part.first().cut_at == 5
+    part, more = retrieval.get_chunks(chunks, [ref(0)], max_chars=5, cursor=more)
+    assert part.first().resumed_at == 5 and part.first().text == text[5:10]
+
+
+def test_anchors_from_stored_html(spark, corpus):
+    docs, chunks, cites, anchors, _ = corpus
+    page = "<p><a href='#s1'>One &amp; more</a><a href='#s2'>Two</a><a href=\"#s1\">One &amp;\n more</a><a href='#none'>x</a><a href='/y'>y</a><a name='s1'>z</a></p>"
+    own = docs.withColumn("html", F.when(F.col("native_id") == "PAC/1", page))
+    held = chunks.withColumn("anchor", F.when(F.col("ord") == 2, "s1").when(F.col("ord") == 3, "s1").when(F.col("ord") == 1, "s2"))
+    row = retrieval.get_doc_anchors(anchors, own, cites, "ato", "PAC/1", held).first()
+    assert [(a.label, a.target_chunk_id) for a in row.in_doc] == [("One & more", 12), ("Two", 11)]
+    # a link on record is told instead
+    row = retrieval.get_doc_anchors(anchors, own, cites, "ato", "PAC/0", held).first()
+    assert [a.label for a in row.in_doc] == ["a"]
+    with pytest.raises(ValueError, match="unknown document"):
+        retrieval.get_doc_anchors(anchors, docs, cites, "ato", "PAC/99")
+
+
 def test_anchors_and_definitions(spark, corpus):
     docs, chunks, cites, anchors, defs = corpus
     row = retrieval.get_doc_anchors(anchors, docs, cites, "ato", "PAC/0").first()
