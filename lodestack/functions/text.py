@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words that a query drops (fixed values).
 STOPWORDS = frozenset("a an and are as at be by for from in is it of on or that the this to was were with".split())
@@ -98,16 +101,79 @@ def redacted(c: Column) -> Column:
     return F.regexp_replace(c, r"(?i)(api[_-]?key|password|secret|token)(\s*[:=]\s*)[^\s,;]+", "$1$2[REDACTED]")
 
 
+#: Names of fields that hold credentials, the form of an interface key and of a bearer token.
+CREDENTIAL_FIELDS = frozenset(("authorization", "x-api-key", "api_key", "api-key", "access_token", "refresh_token"))
+INTERFACE_KEY = r"\b[a-z0-9][a-z0-9_-]{0,63}\.[A-Za-z0-9_-]{43}\b"
+BEARER_TOKEN = r"(?i)(authorization[\"']?\s*[:=]\s*[\"']?bearer\s+)[^\s\"']+"
+
+
+def without_credentials(value: object) -> object:
+    """A decoded JSON value with credentials blanked at any depth: by the name of their field, or by their form in a text."""
+    if isinstance(value, str):
+        return re.sub(BEARER_TOKEN, r"\1[REDACTED_TOKEN]", re.sub(INTERFACE_KEY, "[REDACTED_API_KEY]", value))
+    if isinstance(value, list):
+        return [without_credentials(v) for v in value]
+    if isinstance(value, dict):
+        return {k: "[REDACTED_CREDENTIAL]" if k.lower() in CREDENTIAL_FIELDS else without_credentials(v) for k, v in value.items()}
+    return value
+
+
+def redacted_json(c: Column) -> Column:
+    """JSON records without credentials; what is no JSON is treated as a text."""
+
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        try:
+            return json.dumps(without_credentials(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+        except ValueError:
+            return without_credentials(text)
+
+    @F.pandas_udf(StringType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(one)
+
+    return run(c)
+
+
 def evidence(c: Column) -> Column:
     """Dashes folded, lower case, white space collapsed: for comparing quoted evidence."""
     return collapse_ws(F.lower(F.translate(c, "‐‑‒–—−", "------")))
 
 
+#: What text that was decoded wrongly shows.
+DAMAGE = ("�", "ï¿½", "â€", "Â ")
+#: Single letters one after another that make a run; letters in runs that condemn a text if they are a 20th, or half, of all.
+GLYPH_RUN, GLYPHS_MANY, GLYPHS_FEW = 8, 100, 24
+
+
 def glyph_runs(c: Column) -> Column:
-    """Lengths of the runs of at least eight single-character tokens: text whose glyphs were spaced apart."""
-    step = lambda acc, t: F.when(F.length(t) == 1, F.struct((acc["now"] + 1).alias("now"), acc["runs"].alias("runs"))).otherwise(F.struct(F.lit(0).alias("now"), F.when(acc["now"] >= 8, F.concat(acc["runs"], F.array(acc["now"]))).otherwise(acc["runs"]).alias("runs")))
-    start = F.struct(F.lit(0).alias("now"), F.array().cast("array<int>").alias("runs"))
-    return F.aggregate(F.concat(F.filter(F.split(c, r"\s+"), lambda t: t != ""), F.array(F.lit("  "))), start, step, lambda acc: acc["runs"])
+    """Lengths of the runs of at least eight single-letter words: text whose glyphs were spaced apart."""
+    words = F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+"), lambda t: t != "")
+    # a letter for each single one, a dot for each other word: runs are then found by one pattern
+    marks = F.array_join(F.transform(words, lambda t: F.when(t.rlike(r"^\p{IsAlphabetic}$"), "x").otherwise(".")), "")
+    return F.transform(F.regexp_extract_all(marks, F.lit(f"x{{{GLYPH_RUN},}}"), F.lit(0)), lambda r: F.length(r))
+
+
+def encoding_damage(c: Column) -> Column:
+    """Whether a text shows traces of a wrong decoding."""
+    out = F.lit(False)
+    for trace in DAMAGE:
+        out = out | F.contains(c, F.lit(trace))
+    return F.coalesce(out, F.lit(False))
+
+
+def spaced_glyphs(c: Column) -> Column:
+    """Whether so many letters stand apart that the text can't be searched."""
+    spaced = F.aggregate(glyph_runs(c), F.lit(0), lambda s, n: s + n)
+    letters = F.length(F.regexp_replace(F.coalesce(c, F.lit("")), r"\P{IsAlphabetic}", ""))
+    return (spaced >= GLYPHS_MANY) & (spaced * 20 >= letters) | (spaced >= GLYPHS_FEW) & (spaced * 2 >= letters)
+
+
+def text_damage(c: Column) -> Column:
+    """Why a text is no evidence: nothing in it, damaged, or spaced apart; null if it is sound."""
+    empty = ~F.coalesce(c, F.lit("")).rlike(r"[\p{IsAlphabetic}\p{N}]")
+    return F.when(empty, "empty").when(encoding_damage(c), "encoding").when(spaced_glyphs(c), "glyphs")
 
 
 def version_parts(c: Column) -> Column:

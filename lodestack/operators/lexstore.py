@@ -24,11 +24,12 @@ import math
 from collections import Counter
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.operators import stored
 from lodestack.operators.lexical import K1, LEAST_IDF, B, bm25, top
+from lodestack.operators.order import numbered
 
 FORMAT = "postings-1"
 #: Rows of a block, buckets of terms in a source.
@@ -40,30 +41,17 @@ SLACK = 1e-9
 _POSTINGS = "term string, block long, n int, most double, rows array<int>, tfs array<int>, norms array<double>, places array<array<long>>, source_id string, bucket int"
 _TERMS = "term string, df long, blocks long, most double, source_id string, bucket int"
 _COLUMN_BITS = 32
-_PLACE_BITS = 33
 
 
 def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def _numbered(rows: DataFrame, path: str) -> DataFrame:
-    """(source_id, row_no, row_id, length): numbers from 0 in each source, in the order of row_id, without a window over a source."""
-    spark = rows.sparkSession
-    rows.orderBy("source_id", "row_id").withColumn("mid", F.monotonically_increasing_id()).write.parquet(path)
-    placed = spark.read.parquet(path).withColumn("part", F.shiftright("mid", _PLACE_BITS))
-    # a row for each source in each partition
-    parts = placed.groupBy("source_id", "part").agg(F.count("*").alias("held"), F.min("mid").alias("first"))
-    before = F.coalesce(F.sum("held").over(Window.partitionBy("source_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = parts.select("source_id", "part", (before - F.col("first")).alias("shift"))
-    return placed.join(offsets, ["source_id", "part"]).select("source_id", (F.col("mid") + F.col("shift")).alias("row_no"), "row_id", "length")
-
-
 def build(tokens: DataFrame, path: str, *, block_rows: int = BLOCK_ROWS, buckets: int = BUCKETS) -> None:
     """Index of ``tokens`` (source_id, row_id, col, tokens) for every source at once; ``path`` must not exist."""
     spark = tokens.sparkSession
     counted = tokens.groupBy("source_id", "row_id").agg(F.sum(F.coalesce(F.size("tokens"), F.lit(0))).cast("long").alias("length"))
-    _numbered(counted, f"{path}/numbering").write.parquet(f"{path}/rows")
+    numbered(counted, ["source_id"], ["row_id"]).select("source_id", "row_no", "row_id", "length").write.parquet(f"{path}/rows")
     rows = spark.read.parquet(f"{path}/rows")
     rows.groupBy("source_id").agg(F.count("*").alias("n"), F.avg("length").alias("mean")).coalesce(1).write.parquet(f"{path}/sources")
     sources = spark.read.parquet(f"{path}/sources")

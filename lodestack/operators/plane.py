@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lodestack.operators import stored
 from lodestack.operators.lexical import top
-from lodestack.operators.lexstore import _numbered
+from lodestack.operators.order import numbered
 from lodestack.operators.vector import SCALE, is_finite, quantized
 
 FORMAT = "bytes-1"
@@ -64,13 +64,6 @@ def require_finite(vectors: DataFrame, ident: str, column: str) -> None:
         raise ValueError(f"non-finite vectors: {', '.join(str(r[0]) for r in bad)}")
 
 
-def _blocked(vectors: DataFrame, numbering: str, block_rows: int) -> DataFrame:
-    """(source_id, block, chunk_id, embedding, row_no) of float or byte vectors."""
-    ids = _numbered(vectors.select("source_id", F.col("chunk_id").alias("row_id"), F.lit(0).cast("long").alias("length")), numbering)
-    placed = ids.select("source_id", F.col("row_id").alias("chunk_id"), "row_no", F.expr(f"row_no div {block_rows}").alias("block"))
-    return vectors.select("source_id", "chunk_id", "embedding").join(placed, ["source_id", "chunk_id"])
-
-
 def build(vectors: DataFrame, path: str, *, dim: int | None = None, block_rows: int = BLOCK_ROWS) -> None:
     """Plane of ``vectors`` (source_id, chunk_id, embedding of floats) of every source; ``path`` must not exist.
 
@@ -86,7 +79,7 @@ def build(vectors: DataFrame, path: str, *, dim: int | None = None, block_rows:
     twice = bytes_.groupBy("source_id", "chunk_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
     if uneven or twice:
         raise ValueError(f"vectors of different lengths: {uneven}" if uneven else f"vector {twice[0].chunk_id} twice")
-    rows = _blocked(bytes_, f"{path}/numbering", block_rows)
+    rows = numbered(bytes_, ["source_id"], ["chunk_id"]).withColumn("block", F.expr(f"row_no div {block_rows}"))
     _packed(rows).repartitionByRange("source_id", "block").sortWithinPartitions("source_id", "block").write.partitionBy("source_id").parquet(f"{path}/blocks")
     blocks = spark.read.parquet(f"{path}/blocks")
     places = rows.select("source_id", "chunk_id", "block", (F.col("row_no") - F.col("block") * block_rows).cast("int").alias("pos"))

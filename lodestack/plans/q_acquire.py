@@ -10,23 +10,14 @@ from lodestack.plans.registry import query, table
 from lodestack.sources import acquire
 
 
-def _pick(key: str, values: list[str]) -> str:
-    """SQL: one of the values by the remainder of a key."""
-    listed = ", ".join("'" + v.replace("'", "''") + "'" for v in values)
-    return f"([{listed}])[({key} % {len(values)})::int + 1]"
+_IN_USE_TITLE = "concat(o_orderpriority, case when o_totalprice > 300000 then ' Decision  Number NOT in use' when o_totalprice < 20000 then ' Decision restricted' else concat(' v ', o_custkey) end)"
 
 
-def _picked(key: str, values: list[str]):  # noqa: ANN202
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(key) % len(values) + 1).cast("int"))
-
-
-_TITLES = ["Re Smith", "Decision number not in use", "Jones v Brown [Restricted]", "The King v Doe"]
-
-
-@query(f"select o_orderkey from orders where not (o_orderkey % 5 = 0) and not contains(lower({_pick('o_orderkey', _TITLES)}), 'decision number not in use') and not contains(lower({_pick('o_orderkey', _TITLES)}), '[restricted]')")
+@query("select o_orderkey from orders where o_orderstatus <> 'P' and o_totalprice between 20000 and 300000")
 def decisions_in_use(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    return o.where(acquire.in_use(_picked("o_orderkey", _TITLES), F.col("o_orderkey") % 5 == 0)).select("o_orderkey")
+    """Titles that say so, and restricted decisions, are left out."""
+    o = table(spark, sf_dir, "orders").selectExpr("*", f"{_IN_USE_TITLE} as title")
+    return o.where(acquire.in_use(F.col("title"), F.col("o_orderstatus") == "P")).select("o_orderkey")
 
 
 @query("select o_orderkey, o_orderstatus from orders where o_orderstatus = 'F'")
@@ -35,22 +26,17 @@ def not_repealed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").where(acquire.not_repealed(flag)).select("o_orderkey", "o_orderstatus")
 
 
-_KINDS, _FORMS = ["Primary", "PRIMARY", "Attachment"], ["Epub", "Word", "Pdf", "Html"]
-
-
-@query(f"select p_partkey, case lower({_pick('p_partkey', _FORMS)}) when 'epub' then 0 when 'word' then 1 else 2 end as rank from part where lower({_pick('p_partkey', _KINDS)}) = 'primary' and lower({_pick('p_partkey', _FORMS)}) <> 'html'")
+@query("select p_partkey, case when p_retailprice < 1100 then 0 when p_retailprice < 1400 then 1 else 2 end as rank from part where p_size >= 10 and p_retailprice < 1700")
 def readable_renditions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rank = acquire.rendition_rank(_picked("p_partkey", _KINDS), _picked("p_partkey", _FORMS))
-    return table(spark, sf_dir, "part").select("p_partkey", rank.alias("rank")).where("rank is not null")
-
-
-_STATES = ["InForce", "Repealed", "InForce", "NeverEffective"]
+    """Rank of primary renditions by their form; attachments and other forms have none."""
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey", "case when p_size < 10 then 'Attachment' when p_size < 30 then 'Primary' else 'PRIMARY' end as kind", "case when p_retailprice < 1100 then 'Epub' when p_retailprice < 1400 then 'WORD' when p_retailprice < 1700 then 'Pdf' else 'Html' end as form")
+    return p.select("p_partkey", acquire.rendition_rank(F.col("kind"), F.col("form")).alias("rank")).where("rank is not null")
 
 
-@query(f"select o_orderkey from orders where o_orderkey % 3 <> 0 and {_pick('o_orderkey', _STATES)} = 'InForce' and o_totalprice > 1000")
+@query("select o_orderkey from orders where o_custkey % 3 <> 0 and o_orderstatus = 'O' and o_totalprice > 1000")
 def titles_in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    return o.where(acquire.in_force(F.col("o_orderkey") % 3 != 0, _picked("o_orderkey", _STATES), F.col("o_totalprice") > 1000)).select("o_orderkey")
+    o = table(spark, sf_dir, "orders").withColumn("state", F.when(F.col("o_orderstatus") == "O", "InForce").when(F.col("o_orderstatus") == "F", "Repealed").otherwise("NeverEffective"))
+    return o.where(acquire.in_force(F.col("o_custkey") % 3 != 0, F.col("state"), F.col("o_totalprice") > 1000)).select("o_orderkey")
 
 
 @query(r"select page_id, length(regexp_replace(html, '[^\p{L}\p{N}]', '', 'g')) < 2000 and page_id % 2 > 0 as low from pages")
@@ -68,32 +54,35 @@ def stripped_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(acquire.without_attributes(F.col("html")), 256).alias("digest"))
 
 
-_HREFS = ["https://h.example/law/view/document?DocID=tr/tr2001/nat", "/law/view/document?docid='pac/19970038/955-5'&PiT=20200101000000", "/browse/index?page=2", "https://h.example/a/b#part"]
-
-
-@query(f"""with h as (select o_orderkey, {_pick('o_orderkey', _HREFS)} as href from orders), d as (select o_orderkey, href, trim(regexp_extract(href, '(?i)[?&]docid=\\s*([^&#\\s][^&#]*)', 1), ''' "') as docid from h)
-select o_orderkey, case when docid <> '' then '/law/view/document?docid=' || array_to_string(list_transform(string_split(docid, '/'), lambda x, i: case when i <= 2 then upper(x) else x end), '/') else regexp_replace(regexp_replace(href, '^[a-zA-Z]+://[^/?#]*', ''), '#.*$', '') end as canonical from d""")
+@query("""select o_orderkey, case when o_orderstatus = 'F' then '/law/view/document?docid=' || upper(o_orderpriority) || '/TR' || o_orderkey || '/nat' when o_orderstatus = 'O' then '/law/view/document?docid=PAC/' || o_custkey || '/955-5' else '/browse/' || o_custkey || '?page=' || o_orderkey end as canonical from orders""")
 def document_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", acquire.document_href(_picked("o_orderkey", _HREFS)).alias("canonical"))
+    """Links that name a document in any case and quotes become its canonical one; others lose host and fragment."""
+    href = "case when o_orderstatus = 'F' then concat('https://h.example/law/view/document?x=1&DocID=', lower(o_orderpriority), '/tr', o_orderkey, '/nat#p', o_custkey) when o_orderstatus = 'O' then concat('/law/view/document?docid=\\'pac/', o_custkey, '/955-5\\'&PiT=20200101000000') else concat('http://h.example/browse/', o_custkey, '?page=', o_orderkey, '#part') end"
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{href} as href").select("o_orderkey", acquire.document_href(F.col("href")).alias("canonical"))
 
 
-_DATA = ["/api?TOC=02%3ABook%3A1&x=1", "node/17", "TOC=abc", "/api?y=2"]
+@query("""select o_orderkey, case when o_totalprice > 250000 then '/h' || o_custkey when o_orderstatus = 'F' then '02:' || o_orderpriority || ':' || o_custkey when o_orderstatus = 'O' then 'node/' || o_custkey else '/api?y=' || o_custkey end as id from orders""")
+def crawl_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A node's id: its link, else the TOC parameter of its address, decoded, else the address."""
+    address = "case when o_orderstatus = 'F' then concat('/api?a=1&TOC=02%3A', replace(o_orderpriority, ' ', '%20'), '%3A', o_custkey, '&x=1') when o_orderstatus = 'O' then concat('TOC=node%2F', o_custkey) else concat('/api?y=', o_custkey) end"
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "case when o_totalprice > 250000 then concat('/h', o_custkey) end as href", f"{address} as address")
+    return o.select("o_orderkey", acquire.node_id(F.col("href"), F.col("address")).alias("id"))
 
 
-@query(f"select o_orderkey, coalesce(case when o_orderkey % 3 = 0 then '/h' end, case when regexp_matches(u, '(^|[?&])TOC=') then url_decode(regexp_extract(u, '(?:^|[?&])TOC=([^&]*)', 1)) end, u) as id from (select o_orderkey, {_pick('o_orderkey', _DATA)} as u from orders)")
-def crawl_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", acquire.node_id(F.when(F.col("o_orderkey") % 3 == 0, "/h"), _picked("o_orderkey", _DATA)).alias("id"))
+#: Prefixes of ids and the folders that they stand for.
+_FOLDERS = {"CRP%2F": "Cases", "TR/TR": "Public_rulings", "PSR/": "Practice_statements", "PBR": "Edited_private_advice", "mt": "Public_rulings", "PAL/": "Legislation_and_supporting_material", "SCD/": "Cases", "zz": "Other", "atoid/": "Public_rulings"}
 
 
-_DOCIDS = ["CRP%2FCRP19", "TR/TR20011", "PSR/1", "PBR9", "mt2", "PAL/1", "SCD/2", "zz", "atoid/3", "CMP/1", "IND/4"]
+def _by_index(key: str, values: list[str]) -> str:
+    return f"case {key} " + " ".join(f"when {i} then '{v}'" for i, v in enumerate(values)) + " end"
 
 
-@query(f"""with d as (select o_orderkey, 'docid=' || {_pick('o_orderkey', _DOCIDS)} as id from orders), f as (select o_orderkey, case when regexp_matches(lower(id), 'docid=(cm|tr)') then 'Public_rulings' when contains(lower(id), 'docid=ps') then 'Practice_statements' when regexp_matches(lower(id), 'docid=(pba|pbr)') then 'Edited_private_advice' when contains(lower(id), 'docid=cr') then 'Cases' when regexp_matches(lower(id), 'docid=(mt|md|lct|ind)') then 'Public_rulings' when regexp_matches(lower(id), 'docid=(pak|pal)') then 'Legislation_and_supporting_material' when regexp_matches(lower(id), 'docid=(scd|scr)') then 'Cases' when regexp_matches(lower(id), 'docid=(otr|ato)') then 'Public_rulings' else 'Other' end as top from d)
-select o_orderkey, case when top = 'Other' then 'Other' when o_orderkey % 2 = 0 then top || ' > T' else top || ' > H > T' end as path from f""")
+@query(f"""with f as (select o_orderkey, o_orderpriority as h, o_orderstatus as s, 'Order ' || o_custkey as t, {_by_index('o_custkey % 9', list(_FOLDERS.values()))} as top from orders)
+select o_orderkey, case when top = 'Other' then 'Other' when s = 'F' then top || ' > ' || t else top || ' > ' || h || ' > ' || t end as path from f""")
 def representative_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    canonical = F.concat(F.lit("docid="), _picked("o_orderkey", _DOCIDS))
-    heading = F.when(F.col("o_orderkey") % 2 == 0, "").otherwise("H")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(acquire.representative_path(canonical, heading, F.lit("T")), " > ").alias("path"))
+    """Folder, heading and title of documents that have no place in the tree."""
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"concat('docid=', {_by_index('o_custkey % 9', list(_FOLDERS))}, o_custkey) as id", "case when o_orderstatus = 'F' then '' else o_orderpriority end as heading", "concat('Order ', o_custkey) as title")
+    return o.select("o_orderkey", F.array_join(acquire.representative_path(F.col("id"), F.col("heading"), F.col("title")), " > ").alias("path"))
 
 
 _SLUG = r"substr(case when regexp_replace(regexp_replace({0}, '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') = '' then '{1}' else regexp_replace(regexp_replace({0}, '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') end, 1, 80)"
@@ -155,38 +144,49 @@ def inventory_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return acquire.fingerprint(d, "line", ["source"])
 
 
-_ENUMS = ["0", "2", "Act", "9", "Regulation", "other"]
-
-
-@query(f"select o_orderkey, case v when '0' then 'Act' when '2' then 'Notice' when 'Act' then 'Act' when 'Regulation' then 'Regulation' end as name from (select o_orderkey, {_pick('o_orderkey', _ENUMS)} as v from orders)")
+@query("""select o_orderkey, case when o_orderstatus = 'P' then null else o_orderpriority end as name from orders""")
 def enum_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", acquire.enum_name(_picked("o_orderkey", _ENUMS), ["Act", "Regulation", "Notice"]).alias("name"))
-
-
-_TIMES = ["2020-01-02T03:04:05", "2020-01-02T03:04:05.1200000Z", "2020-01-02T03:04:05+10:00", "2020-13-02T03:04:05Z", "soon"]
-_TOLD = ["2020-01-02T03:04:05", "2020-01-02T03:04:05.12", "2020-01-01T17:04:05", "", ""]
+    """Names given by their number or by themselves; numbers and names beyond the list are none."""
+    o = table(spark, sf_dir, "orders")
+    names = [r[0] for r in o.select("o_orderpriority").distinct().orderBy("o_orderpriority").collect()]
+    number = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("o_orderpriority")) - 1
+    value = F.when(F.col("o_orderstatus") == "F", number.cast("string")).when(F.col("o_orderstatus") == "O", F.col("o_orderpriority")).when(F.col("o_orderkey") % 2 == 0, (number + 100).cast("string")).otherwise(F.concat("o_orderpriority", F.lit("?")))
+    return o.select("o_orderkey", acquire.enum_name(value, names).alias("name"))
 
 
-@query(f"select o_orderkey, nullif({_pick('o_orderkey', _TOLD)}, '') as at from orders")
+@query("""select event_id, case when event_id % 5 = 4 then null else strftime(ts - to_hours(case when event_id % 5 = 2 then 10 else 0 end), '%Y-%m-%dT%H:%M:%S') || case when event_id % 5 = 1 then '.' || rtrim((1 + event_id % 999)::varchar, '0') else '' end end as at from events where event_id % 999 <> 998""")
 def canonical_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", acquire.canonical_time(_picked("o_orderkey", _TIMES)).alias("at"))
-
-
-_STAMPS = ["1700000000123", "1.9", "2020-01-02T03:04:05Z", "2020-01-02", "never"]
+    """Times with zones, offsets and fractions in one spelling; days that there are not are none."""
+    base = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    k = F.col("event_id") % 5
+    shown = F.when(k == 0, base).when(k == 1, F.concat(base, F.lit("."), (1 + F.col("event_id") % 999).cast("string"), F.lit("000Z"))).when(k == 2, F.concat(base, F.lit("+10:00"))).when(k == 3, F.concat(base, F.lit("Z"))).otherwise(F.concat(F.regexp_replace(base, r"-\d\d-", "-13-"), F.lit("Z")))
+    return table(spark, sf_dir, "events").where("event_id % 999 <> 998").select("event_id", acquire.canonical_time(shown).alias("at"))
 
 
-@query(f"select o_orderkey, ([1700000000123, 1, 1577934245000, 1577923200000, 7])[(o_orderkey % 5)::int + 1]::bigint as ms from orders")
+@query("""select event_id, case event_id % 4 when 0 then epoch_us(ts) // 1000 when 1 then trunc(value)::bigint when 2 then epoch_ms(date_trunc('second', ts)) else user_id end as ms from events""")
 def coerced_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", acquire.epoch_millis(_picked("o_orderkey", _STAMPS), F.lit("7")).alias("ms"))
-
-
-_PAYLOADS = ['{"hits": [{"title": "A"}, {}]}', '{"hits": []}', '{"chunks": [1, 2, 3]}', '{"definitions": [1]}', '{"documents": 4, "chunks": 9}', '{"a": 1, "b": 2}', "[1, 2]", "  ", " first line\nsecond"]
-_SUMMARIES = ["2 search hit(s); first: A", "0 search hit(s)", "3 chunk(s) returned", "1 definition(s) returned", "stats: 4 documents; 9 chunks", "JSON object: a, b", "JSON array with 2 item(s)", "Empty result", "first line"]
+    """Milliseconds from numbers and ISO times; what is neither takes the fallback."""
+    k = F.col("event_id") % 4
+    text = F.when(k == 0, F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01', ts)").cast("string")).when(k == 1, F.format_string("%.4f", "value")).when(k == 2, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.col("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", acquire.epoch_millis(text, F.col("user_id").cast("string")).alias("ms"))
 
 
-@query(f"select event_id, {_pick('event_id', _SUMMARIES)} as summary from events")
+@query("""select event_id, case event_id % 7 when 0 then (1 + user_id % 3) || ' search hit(s); first: ' || event_type when 1 then (user_id % 4) || ' chunk(s) returned' when 2 then '1 definition(s) returned' when 3 then 'stats: ' || user_id || ' documents; ' || event_id || ' chunks'
+ when 4 then 'JSON object: ' || event_type || ', b' when 5 then 'JSON array with ' || (user_id % 4) || ' item(s)' else event_type || ' ' || user_id end as summary from events""")
 def result_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", acquire.result_summary(_picked("event_id", _PAYLOADS)).alias("summary"))
+    """One line on each result, told by its shape."""
+    k, user = F.col("event_id") % 7, F.col("user_id")
+    many = lambda n, x: F.array_repeat(x, n.cast("int"))
+    told = (
+        F.when(k == 0, F.to_json(F.struct(many(1 + user % 3, F.struct(F.col("event_type").alias("title"))).alias("hits"))))
+        .when(k == 1, F.to_json(F.struct(many(user % 4, user).alias("chunks"))))
+        .when(k == 2, F.to_json(F.struct(F.array(F.struct("user_id")).alias("definitions"))))
+        .when(k == 3, F.to_json(F.struct(user.alias("documents"), F.col("event_id").alias("chunks"))))
+        .when(k == 4, F.concat(F.lit('{"'), "event_type", F.lit('": 1, "b": 2}')))
+        .when(k == 5, F.to_json(many(user % 4, user)))
+        .otherwise(F.concat(F.lit("\n  "), "event_type", F.lit(" "), user.cast("string"), F.lit(" \nsecond line")))
+    )
+    return table(spark, sf_dir, "events").select("event_id", acquire.result_summary(told).alias("summary"))
 
 
 @query("select o_orderkey, case when o_orderkey % 3 = 0 then sha256(o_orderpriority) else (o_orderdate::date + 1)::varchar end as version from orders")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.operators import incremental as inc
+from lodestack.operators import order
 from lodestack.plans.registry import query, table
 
 _SNAP = """with o as (select doc_id, case when doc_id % 10 = 3 then md5(text || 'old') else md5(text) end as h from documents where doc_id % 7 <> 0), n as (select doc_id, md5(text) as h from documents where doc_id % 11 <> 0),
@@ -109,12 +110,9 @@ select event_type, max(value) filter (r = ceil(0.5 * n)) as p50, max(value) filt
 def percentiles_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest-rank percentiles in both readings: rank ceil(f·n), and round((n-1)·f) from 0."""
     e = table(spark, sf_dir, "events").where("value is not null")
-    e.createOrReplaceTempView("lodestack_latency")
-    both = spark.sql("select event_type, percentile_disc(0.5) within group (order by value) as p50, percentile_disc(0.95) within group (order by value) as p95, round(avg(value), 6) as mean, count(*) as n from lodestack_latency group by event_type")
-    w = Window.partitionBy("event_type").orderBy("value")
-    placed = e.select("event_type", "value", F.row_number().over(w).alias("r")).join(both.select("event_type", "n"), "event_type")
-    other = placed.where(F.col("r") == F.round((F.col("n") - 1) * 0.95) + 1).select("event_type", F.col("value").alias("p95_rounded"))
-    return both.join(other, "event_type", "left").select("event_type", "p50", "p95", "mean", "p95_rounded")
+    n = F.col("n")
+    ranks = order.at_ranks(e, ["event_type"], "value", {"p50": F.ceil(n * 0.5), "p95": F.ceil(n * 0.95), "p95_rounded": F.round((n - 1) * 0.95) + 1})
+    return ranks.join(e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean")), "event_type").select("event_type", "p50", "p95", "mean", "p95_rounded")
 
 
 _SESSION = """with c as (select user_id, event_id as call_id, ts as started from events where event_type = 'click'), r as (select user_id, event_id - 1 as call_id, ts as finished, event_type = 'error' as failed from events where event_type <> 'click'),

@@ -304,3 +304,24 @@ def accepted_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quarantined_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Refused lines by reason: a line may have several."""
     return _inventory(spark, sf_dir)[1].select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("lines"))
+
+
+_FAULTS = (
+    "list_filter([case when page_id % 5 = 0 then 'payload: parts' end, case when page_id % 7 = 0 then 'payload: absolute' end, case when page_id % 3 = 0 then 'media_type: no media type' end, case when page_id % 4 = 0 then 'sha256: no sha256' end, "
+    r"case when regexp_matches(html, '(?i)<\s*(?:script|iframe|object|embed|applet|form|base|meta|link)\b') then 'html: active element' end, case when page_id % 6 = 0 then 'html: event handler' end, case when page_id % 9 = 0 then 'html: script URL' end], lambda x: x is not null)"
+)
+
+
+@query(f"with p as (select page_id, case when page_id % 2 = 0 then html else regexp_extract(html, '(?s)<article>.*?</article>') end as html from pages), f as (select page_id, unnest({_FAULTS}) as fault from p) select page_id, fault from f")
+def contract_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised documents against their contract: payload paths, media types, digests, and markup that can act."""
+    k = F.col("page_id")
+    body = F.when(k % 2 == 0, F.col("html")).otherwise(listings.part(F.col("html"), "article"))
+    body = F.concat(body, F.when(k % 6 == 0, "<p onclick = 'x'>").otherwise(""), F.when(k % 9 == 0, '<a href=" javascript:x">').otherwise(""))
+    path = F.concat(F.when(k % 7 == 0, "/").otherwise(""), F.lit("p/"), F.when(k % 5 == 0, "../").otherwise(""), k.cast("string"))
+    media = F.when(k % 3 == 0, "text html").otherwise("text/html; charset=utf-8")
+    digest = F.sha2("html", 256)
+    rows = table(spark, sf_dir, "pages").select("page_id", path.alias("payload"), media.alias("media_type"), F.when(k % 4 == 0, F.concat(F.lit("x"), digest)).otherwise(digest).alias("sha256"), body.alias("html"))
+    c = F.col
+    rules = [*quarantine.path_faults(c("payload"), "payload"), *quarantine.media_type_faults(c("media_type"), "media_type"), *quarantine.digest_faults(c("sha256"), "sha256"), *quarantine.html_faults(c("html"), "html")]
+    return rows.select("page_id", F.explode(quarantine.reasons(rules)).alias("fault"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import chunking, extract, html
 from lodestack.functions import text as T
+from lodestack.operators import order
 from lodestack.plans.registry import query, table
 
 _TITLE = r"trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g'))"
@@ -125,11 +126,10 @@ def normalised_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select p_partkey, 'v' || p_size as label, row_number() over (order by list_transform(string_split((p_size % 10) || '.' || (p_size % 7) || '.' || (p_partkey % 4), '.'), lambda x: x::int), p_partkey) as rank from part")
 def version_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dotted versions in order of their numbers."""
-    from pyspark.sql import Window
-
     p = table(spark, sf_dir, "part")
     v = F.concat_ws(".", (F.col("p_size") % 10).cast("string"), (F.col("p_size") % 7).cast("string"), (F.col("p_partkey") % 4).cast("string"))
-    return p.select("p_partkey", F.concat(F.lit("v"), F.col("p_size")).alias("label"), F.row_number().over(Window.orderBy(T.version_parts(v), "p_partkey")).alias("rank"))
+    ranked = order.numbered(p.select("p_partkey", "p_size", T.version_parts(v).alias("parts")), [], ["parts", "p_partkey"])
+    return ranked.select("p_partkey", F.concat(F.lit("v"), F.col("p_size")).alias("label"), (F.col("row_no") + 1).alias("rank"))
 
 
 @query("select o_orderkey, list_max(list_transform(regexp_extract_all('1 of ' || (o_orderkey % 50) || ', 2 of ' || (o_custkey % 70), 'of (\\d+)', 1), lambda x: x::int)) as total from orders")
@@ -154,10 +154,13 @@ def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", T.escape_html(raw).alias("escaped"), (T.unescape_html(T.escape_html(raw)) == raw).alias("back"))
 
 
-@query("select doc_id, '<article><p>' || replace(array_to_string(list_transform(list_filter(list_transform(string_split(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10) || chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), lambda x: x), '</p><p>'), '\"', '&quot;') || '</p></article>' as html from documents where lang = 'de' and not contains(text, '''') and not regexp_matches(text, '\\n\\s+\\n|[\\x{0085}\\x{00A0}\\x{2000}-\\x{3000}]') and trim(text) <> ''")
+_ESCAPED = "replace(replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
+
+
+@query(rf"with p as (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') as ps from documents) select doc_id, '<article>' || array_to_string(list_transform(ps, lambda x: '<p>' || {_ESCAPED} || '</p>'), '') || '</article>' as html from p")
 def text_to_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("lang = 'de'").where(~F.contains("text", F.lit("'")) & ~F.col("text").rlike(r"\n\s+\n|[\x{0085}\x{00A0}\x{2000}-\x{3000}]") & (F.trim("text") != ""))
-    return d.select("doc_id", T.text_to_html(F.col("text")).alias("html"))
+    """Plain texts as paragraphs, escaped."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.text_to_html(F.col("text")).alias("html"))
 
 
 @query("select doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: length(x) = 1)) as singles from documents")
@@ -166,10 +169,46 @@ def single_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.size(F.filter(F.split("text", r"\s+", -1), lambda x: F.length(x) == 1)).cast("bigint").alias("singles"))
 
 
-@query()
+#: A tenth of the texts with their glyphs apart, an eleventh with traces of a wrong decoding, a thirteenth without letters.
+_DAMAGED = "case when doc_id % 10 = 0 then {spaced} when doc_id % 11 = 0 then concat(text, ' itâ€™s') when doc_id % 13 = 0 then ' -- ' else text end"
+_SPACED_SQL = _DAMAGED.format(spaced=r"regexp_replace(text, '(\p{L})', '\1 ', 'g')")
+_MARKS = r"array_to_string(list_transform(list_filter(regexp_split_to_array(coalesce(t, ''), '\s+'), lambda x: x <> ''), lambda x: case when regexp_matches(x, '^\p{L}$') then 'x' else '.' end), '')"
+_RUNS = f"regexp_extract_all({_MARKS}, 'x{{8,}}')"
+_GLYPHS = "coalesce(list_sum(list_transform(runs, lambda x: length(x))), 0)::bigint"
+
+
+def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").withColumn("spaced", F.regexp_replace("text", r"(\p{L})", "$1 "))
+    return d.selectExpr("doc_id", f"{_DAMAGED.format(spaced='spaced')} as t")
+
+
+@query(f"with r as (select doc_id, {_RUNS} as runs from (select doc_id, {_SPACED_SQL} as t from documents)) select doc_id, len(runs) as runs, {_GLYPHS} as glyphs from r")
 def glyph_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of spaced-out glyphs that a quality gate looks for."""
-    return table(spark, sf_dir, "documents").select("doc_id", T.glyph_runs(F.col("text")).alias("runs"))
+    runs = T.glyph_runs(F.col("t"))
+    return _damaged(spark, sf_dir).select("doc_id", F.size(runs).cast("long").alias("runs"), F.aggregate(runs, F.lit(0).cast("long"), lambda s, n: s + n).alias("glyphs"))
+
+
+@query(
+    f"with r as (select doc_id, t, {_RUNS} as runs from (select doc_id, {_SPACED_SQL} as t from documents)), "
+    + rf"g as (select *, {_GLYPHS} as g, length(regexp_replace(coalesce(t, ''), '\P{{L}}', '', 'g')) as n from r) select doc_id, case when not regexp_matches(coalesce(t, ''), '[\p{{L}}\p{{N}}]') then 'empty' "
+    + "when contains(t, chr(65533)) or contains(t, 'ï¿½') or contains(t, 'â€') or contains(t, 'Â ') then 'encoding' when (g >= 100 and g * 20 >= n) or (g >= 24 and g * 2 >= n) then 'glyphs' end as damage from g"
+)
+def text_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that are no evidence, and why."""
+    return _damaged(spark, sf_dir).select("doc_id", T.text_damage(F.col("t")).alias("damage"))
+
+
+@query("""select event_id, '{"user":' || user_id || ',"headers":{"Authorization":"[REDACTED_CREDENTIAL]","note":"authorization: Bearer [REDACTED_TOKEN] of ' || event_type || '"},"calls":[{"API_KEY":"[REDACTED_CREDENTIAL]","id":' || event_id || '},"key [REDACTED_API_KEY] end"]}' as record from events""")
+def redacted_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with credentials at several depths: in fields, lists and texts."""
+    key = F.concat(F.lit("k"), F.col("user_id").cast("string"), F.lit("."), F.substring(F.sha2(F.col("event_id").cast("string"), 256), 1, 43))
+    secret = F.struct(F.lit("Bearer x").alias("a"), F.col("value").alias("b"))
+    note = F.concat(F.lit("authorization: Bearer t"), F.col("event_id").cast("string"), F.lit(" of "), "event_type")
+    record = F.struct(F.col("user_id").alias("user"), F.struct(secret.alias("Authorization"), note.alias("note")).alias("headers"))
+    calls = F.concat(F.lit(',"calls":[{"API_KEY":["a"],"id":'), F.col("event_id").cast("string"), F.lit('},"key '), key, F.lit(' end"]}'))
+    text = F.concat(F.regexp_replace(F.to_json(record), r"\}$", ""), calls)
+    return table(spark, sf_dir, "events").select("event_id", T.redacted_json(text).alias("record"))
 
 
 @query()

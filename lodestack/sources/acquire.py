@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lodestack.functions import text as T
 
 #: Endings of titles that name decisions out of use, and the renditions that can be read.
-UNUSED_MARKERS = ("decision number not in use", "[restricted]")
+UNUSED_MARKERS = ("decision number not in use", "decision restricted")
 RENDITIONS = {"epub": 0, "word": 1, "pdf": 2}
 MISSING_PAGE = "Document could not be found"
 #: Parts of a document id and the folder that holds such documents; the first that fits counts.
@@ -38,7 +38,8 @@ LOW_TEXT = 128
 
 def in_use(title: Column, restricted: Column) -> Column:
     """Decisions that may be shown: not restricted, and not marked as out of use by their title."""
-    marked = reduce(lambda a, b: a | b, [F.contains(F.lower(title), F.lit(m)) for m in UNUSED_MARKERS])
+    told = F.lower(T.collapse_ws(title))
+    marked = reduce(lambda a, b: a | b, [F.contains(told, F.lit(m)) for m in UNUSED_MARKERS])
     return ~F.coalesce(restricted, F.lit(False)) & ~F.coalesce(marked, F.lit(False))
 
 

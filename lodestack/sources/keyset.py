@@ -25,14 +25,12 @@ from datetime import date, datetime
 from decimal import Decimal
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import DataType, DateType, DecimalType, StructType, TimestampType
 
-from lodestack.operators.stored import scratch
-
-_PLACE_BITS = 33
+from lodestack.operators.order import numbered
 
 
 class PagingError(ValueError):
@@ -45,12 +43,7 @@ def record(rows: DataFrame, keys: list[str], page_size: int, path: str, ceiling:
         raise ValueError(f"page size {page_size}")
     if ceiling is not None:
         rows = rows.where(F.struct(*keys) <= F.struct(*[F.lit(v).cast(rows.schema[k].dataType) for k, v in zip(keys, ceiling, strict=True)]))
-    placed = scratch(rows.orderBy(*keys).withColumn("__mid", F.monotonically_increasing_id()), "keyset").withColumn("__part", F.shiftright("__mid", _PLACE_BITS))
-    # a row a partition
-    parts = placed.groupBy("__part").agg(F.count("*").alias("__held"), F.min("__mid").alias("__first"))
-    shift = F.coalesce(F.sum("__held").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("__first")
-    numbered = placed.join(F.broadcast(parts.select("__part", shift.alias("__shift"))), "__part").withColumn("__no", F.col("__mid") + F.col("__shift"))
-    paged = numbered.withColumn("page", F.expr(f"__no div {page_size}")).drop("__mid", "__part", "__shift")
+    paged = numbered(rows, [], keys, "__no").withColumn("page", F.expr(f"__no div {page_size}"))
     paged.repartition("page").sortWithinPartitions("page", "__no").drop("__no").write.partitionBy("page").json(path)
 
 

@@ -56,8 +56,8 @@ def media_type_faults(c: Column, name: str) -> list[tuple[str, Column]]:
 
 def path_faults(c: Column, name: str) -> list[tuple[str, Column]]:
     """Payload paths: relative, forward slashes, no empty, ``.`` or ``..`` part."""
-    parts = F.split(c, "/", -1)
-    return [*text_faults(c, name), (f"{name}: absolute", c.rlike(r"^(?:/|[A-Za-z]:)")), (f"{name}: backslash", c.contains("\\")), (f"{name}: parts", F.exists(parts, lambda p: p.isin("", ".", "..")) & ~c.startswith("/"))]
+    parts = F.split(F.regexp_replace(c, "^/", ""), "/", -1)
+    return [*text_faults(c, name), (f"{name}: absolute", c.rlike(r"^(?:/|[A-Za-z]:)")), (f"{name}: backslash", c.contains("\\")), (f"{name}: parts", F.exists(parts, lambda p: p.isin("", ".", "..")))]
 
 
 def digest_faults(c: Column, name: str) -> list[tuple[str, Column]]:
