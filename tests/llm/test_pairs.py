@@ -288,6 +288,42 @@ def test_recall_of_edited_passages(spark, size, edits):
     assert pairs <= want and len(pairs & want) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("kind", ["put in", "left out", "all"])
+@pytest.mark.parametrize(("size", "every"), [(80, 12), (100, 15), (60, 10)])
+def test_recall_of_passages_with_shifts(spark, kind, size, every):
+    """Words put in or left out at regular places: nothing stays on one diagonal for long."""
+    rng = random.Random(size + len(kind))
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(4))
+    noise = lambda n: [word() for _ in range(n)]
+    texts = []
+    for _ in range(40):
+        x, y = noise(size), []
+        for i, w in enumerate(x):
+            edit = i % every == every - 1
+            how = rng.choice(["put in", "left out", "replaced"]) if kind == "all" else kind
+            y += [w] if not edit else [word(), w] if how == "put in" else [] if how == "left out" else [word()]
+        texts += [" ".join(noise(50) + x + noise(50)), " ".join(noise(50) + y + noise(50))]
+    pairs = {frozenset((r.doc_id, r.other_id)) for r in chaining.passages(frame(spark, texts)).collect()}
+    want = {frozenset((i, i + 1)) for i in range(0, len(texts), 2)}
+    assert pairs <= want and len(pairs & want) >= 0.9 * len(want), len(pairs & want)
+
+
+def test_extension_over_shifts():
+    """Ends in both runs and equal words, against the words that were left in place."""
+    rng = random.Random(8)
+    for _ in range(200):
+        x = [rng.randrange(10**9) for _ in range(rng.randint(5, 120))]
+        y, kept = [], 0
+        for i, w in enumerate(x):
+            how = rng.choice(["put", "out", "new"]) if i % 9 == 8 and i < len(x) - 3 else "keep"
+            y += {"put": [rng.randrange(10**9), w], "out": [], "new": [rng.randrange(10**9)], "keep": [w]}[how]
+            kept += how in ("put", "keep")
+        tail = [rng.randrange(10**9) for _ in range(20)]
+        ka, kb, equal = chaining._extend(np.array(x + tail), np.array(y + [v + 1 for v in tail]))
+        assert (ka, kb, equal) == (len(x), len(y), kept)
+    assert chaining._extend(np.array([1, 2]), np.array([3, 4])) == (0, 0, 0) and chaining._extend(np.array([], int), np.array([1])) == (0, 0, 0)
+
+
 def test_long_passages_of_known_sentences(spark):
     """Two texts share a long passage each sentence of which, but no two in a row, earlier texts hold too."""
     rng = random.Random(15)
