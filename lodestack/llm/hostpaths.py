@@ -9,7 +9,8 @@
 3. Each page is scanned again and the winning paths are tried on it. Of those
    that match, the most voted one wins and those with at least half its votes
    (other templates of the host) may beat it by their score here; all elements
-   with that path are the article. A page that no winner matches, or whose host
+   with that path are the article, and so are the headings right before them. A
+   page that no winner matches, or whose host
    is unknown, keeps its own best container.
 
 A long list of comments, or an advert longer than a short article, wins on its
@@ -77,39 +78,37 @@ def _under(page: Page) -> list[float]:
     return score
 
 
-def _promoted(page: Page, c: int) -> int:
-    """The article element around a container, or a parent that adds nothing but headings."""
+def _article(page: Page, c: int) -> int:
+    """The article element around a container, else the container."""
     up = c
-    while up > 0:
-        if page.tag[up] == "article":
-            return up
+    while up > 0 and page.tag[up] != "article":
         up = page.parent[up]
-    inside, outside = [0] * len(page.parent), [0] * len(page.parent)
-    for b, _, _, heading in page.blocks:
-        (outside if heading else inside)[b] += 1
-    for x in range(len(page.parent) - 1, 0, -1):  # parents come before their children
-        inside[page.parent[x]] += inside[x]
-        outside[page.parent[x]] += outside[x]
-    while (up := page.parent[c]) > 0 and page.tag[up] != "body" and inside[up] == inside[c] and outside[up] > outside[c]:
-        c = up
-    return c
+    return up if up > 0 else c
 
 
 def best(page: Page, score: list[float]) -> int:
     """The container that the page itself would choose; the whole page where nothing is scored."""
     top = max(score)
-    return _promoted(page, score.index(top)) if top > 0 else 0
+    return _article(page, score.index(top)) if top > 0 else 0
 
 
 def text_of(page: Page, roots: set[int]) -> str:
-    """Blocks within ``roots``, without a part that a heading calls reader comments."""
-    within, ended = [False] * len(page.parent), [False] * len(page.parent)
-    for c in range(len(page.parent)):
-        within[c] = c in roots or c > 0 and within[page.parent[c]]
-    found = []
+    """Blocks within ``roots``, and the headings right before each of them in what holds it; without a part that a heading calls reader comments."""
+    root, ended = [-1] * len(page.parent), [False] * len(page.parent)
+    for c in range(len(page.parent)):  # parents come before their children
+        root[c] = c if c in roots and (c == 0 or root[page.parent[c]] < 0) else root[page.parent[c]] if c else -1
+    found: list[str] = []
+    before: list[tuple[int, str]] = []
+    begun: set[int] = set()
     for c, text, _, heading in page.blocks:
-        if not within[c]:
+        r = root[c]
+        if r < 0:
+            before = [*before, (c, text)] if heading else []
             continue
+        if r not in begun:
+            begun.add(r)
+            found += [x for at, x in before if at == page.parent[r]]
+        before = []
         if heading and c not in roots and begins_comments(text):
             ended[c] = True
         up = c

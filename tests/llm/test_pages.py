@@ -77,6 +77,13 @@ def test_consensus_beats_a_page(spark):
         assert by[102, "https://b.org/"].text == by[103, "b.org"].text == "" and by[102, "https://b.org/"].n_chars == 0
 
 
+def test_headings_before_the_container():
+    page = "<body><div class='m'><h2>Elsewhere</h2><p>a long list of other things to read</p><h1>Title</h1><h2>Sub</h2><div class='b'><p>{}</p><h2>Part</h2><p>more words</p></div><h2>After</h2><div class='b'><h3>Inner</h3>second part</div></div></body>"
+    assert own(page.format("first words " * 20)) == ["Title", "Sub", ("first words " * 20).strip(), "Part", "more words"]
+    found, path, by_host = hostpaths.extracted(hostpaths.read(page.format("first words")), [("/body/div.m/div.b", 9)])
+    assert by_host and path == "/body/div.m/div.b" and found.split("\n\n") == ["Title", "Sub", "first words", "Part", "more words", "After", "Inner", "second part"]
+
+
 def test_hosts(spark):
     urls = ["https://www.A.org:80/x", "http://u:p@b.org", "//c.org/x", "d.org/x", "", None, "mailto:x@y.z"]
     df = spark.createDataFrame([(u,) for u in urls], "u string")
