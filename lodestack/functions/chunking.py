@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from lodestack.functions.html import BLOCK, HEADINGS, Node, container, is_noise, parse, referenced, render, strip, tidy
+from lodestack.functions.wordpiece import LIMIT, split_exactly
 
 #: Chunk format and budget, tokens to a word, and the widest run of words.
 FORMAT, BUDGET = 9, 512
@@ -164,6 +166,10 @@ def pack(found: list[Block], budget: int = BUDGET) -> list[Block]:
     return out
 
 
-def chunk_html(html: str, title: str = "", budget: int = BUDGET) -> list[tuple[int, str | None, str]]:
-    """(ord, anchor, text) of each chunk."""
-    return [(i, c.anchor, c.text) for i, c in enumerate(pack(blocks(html, title), budget))]
+def chunk_html(html: str, title: str = "", budget: int = BUDGET, count: Callable[[str], int] | None = None, limit: int = LIMIT) -> list[tuple[int, str | None, str]]:
+    """(ord, anchor, text) of each chunk. With ``count``, a chunk of more than ``limit`` tokens as the model counts them is split where it no longer fits."""
+    packed = [(c.anchor, c.text) for c in pack(blocks(html, title), budget)]
+    if count:
+        parts = [(anchor, split_exactly(text, count, limit) if count(text) > limit else [text]) for anchor, text in packed]
+        packed = [(anchor if i == 0 else None, x) for anchor, texts in parts for i, x in enumerate(texts)]
+    return [(i, anchor, text) for i, (anchor, text) in enumerate(packed)]

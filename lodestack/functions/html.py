@@ -261,16 +261,29 @@ def anchors(html: str, own: str) -> list[dict]:
     history with the day, and ``(unnamed)`` if there is none.
     """
     from lodestack.functions.extract import pit_to_date
+    from lodestack.ident import DocumentId
 
     root = parse(html)
     names, beside = targets(root), _labels(root)
     out, seen = [], set()
     for n in root.walk():
+        # a rewritten link names its document itself
+        named = n.attrs.get("data-doc-id", "") if n.tag == "a" else ""
         href = n.attrs.get("href", "") if n.tag == "a" else ""
-        if not href:
+        if not href and not named:
             continue
         target, pit = href[1:], None
-        if href.startswith("#"):
+        if named:
+            try:
+                target = DocumentId.parse(named).native_id
+            except ValueError:
+                continue
+            pit = n.attrs.get("data-pit") or None
+            pit = None if pit in SENTINELS else pit
+            if pit is None and target == own:
+                continue
+            kind = "history" if pit else "sister"
+        elif href.startswith("#"):
             if target not in names:
                 continue
             kind = "in_doc"

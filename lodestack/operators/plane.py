@@ -128,14 +128,24 @@ class Plane:
                 raise ValueError(f"eligible chunks without a vector: {', '.join(str(r[0]) for r in lost)}")
         return placed.groupBy("block").agg(F.bitmap_construct_agg(F.col("pos").cast("long")).alias("bits"))
 
-    def nearest(self, source: str, query: list[int], k: int, eligible: DataFrame | None = None, between: tuple[int, int] | None = None, strict: bool = False) -> DataFrame:
-        """(chunk_id, raw, score, rank) of the k greatest inner products among eligible ids, or ids ``between`` two."""
+    def kept_bitmaps(self, source: str, eligible: DataFrame, key: str) -> DataFrame:
+        """Bitmaps of what ``key`` (a filter and the generation it ran on) admits: made once, written beside the plane's store, read by later searches."""
+        told = hashlib.sha256(f"{self.path}|{source}|{key}".encode()).hexdigest()
+        path = f"{stored.shared_folder(self.spark)}/bitmaps-{told[:32]}"
+        if not stored.there(self.spark, f"{path}/_SUCCESS"):
+            # a folder without its success marker is that of a search that broke off, or of one that runs beside this
+            self.bitmaps(source, eligible, strict=False).write.mode("overwrite").parquet(path)
+        return self.spark.read.schema("block long, bits binary").parquet(path)
+
+    def nearest(self, source: str, query: list[int], k: int, eligible: DataFrame | None = None, between: tuple[int, int] | None = None, strict: bool = False, key: str | None = None) -> DataFrame:
+        """(chunk_id, raw, score, rank) of the k greatest inner products among eligible ids, or ids ``between`` two; ``key`` names what is eligible, so that it is kept."""
         mine = self.blocks.where(F.col("source_id") == source)
         if between:
             mine = mine.where((F.col("last_id") >= between[0]) & (F.col("first_id") <= between[1]))
         if eligible is not None:
             # without a hint: Spark knows how large the bitmaps are once they are made
-            mine = mine.join(self.bitmaps(source, eligible, strict), "block").select("n", "ids", "data", "bits")
+            bits = self.bitmaps(source, eligible, strict) if key is None else self.kept_bitmaps(source, eligible, key)
+            mine = mine.join(bits, "block").select("n", "ids", "data", "bits")
         else:
             mine = mine.select("n", "ids", "data", F.lit(None).cast("binary").alias("bits"))
         best = top(mine.mapInArrow(_best(query, k, between), "chunk_id long, raw int"), k, "chunk_id", score="raw")

@@ -76,8 +76,14 @@ class Engine:
         embeddings: DataFrame | Plane | None = None,
         provider: EmbeddingProvider | None = None,
         phrases: Callable[[str], list[list[str]]] = lexical.query_phrases,
+        generation: str | None = None,
     ) -> None:
-        """Index and vectors may be tables or stored structures; ``phrases`` must be the tokeniser that the index was made with."""
+        """Index and vectors may be tables or stored structures; ``phrases`` must be the tokeniser that the index was made with.
+
+        With a ``generation``, a name that changes with the tables, what a filter
+        admits is kept for later searches.
+        """
+        self.generation = generation
         self.documents, self.chunks, self.index = documents, chunks, chunk_index
         self.titles, self.embeddings, self.provider, self.phrases = title_index, embeddings, provider, phrases
 
@@ -101,11 +107,12 @@ class Engine:
         scored = lexical.bm25(postings, rows, self.phrases(query)).withColumnRenamed("row_id", "chunk_id")
         return lexical.top(scored.join(pool.select("chunk_id"), "chunk_id", "left_semi"), limit, "chunk_id").select("chunk_id", "score", "rank")
 
-    def near(self, vector_: list[int], source: str, pool: DataFrame, limit: int) -> DataFrame:
+    def near(self, vector_: list[int], source: str, pool: DataFrame, limit: int, spec: filters.FilterSpec | None = None) -> DataFrame:
         if self.embeddings is None:
             raise ValueError("this corpus has no vectors")
         if isinstance(self.embeddings, Plane):
-            return self.embeddings.nearest(source, vector_, limit, pool).select("chunk_id", "score", "rank")
+            key = f"{self.generation}|{spec.key()}" if self.generation and spec else None
+            return self.embeddings.nearest(source, vector_, limit, pool, key=key).select("chunk_id", "score", "rank")
         return vector.nearest(self.embeddings, vector_, limit, eligible=pool).select("chunk_id", "score", "rank")
 
     def _query_vector(self, query: str, options: SearchOptions) -> list[int]:
@@ -129,7 +136,7 @@ class Engine:
         pool = self.eligible(o)
         lists = []
         if o.mode in ("hybrid", "vector"):
-            lists.append(self.near(self._query_vector(query, o), o.source, pool, limit))
+            lists.append(self.near(self._query_vector(query, o), o.source, pool, limit, o.spec()))
         if o.mode in ("hybrid", "keyword"):
             lists.append(self.keyword(query, o.source, pool, limit))
         fused = ranking.rrf(*lists) if len(lists) > 1 else lists[0].select("chunk_id", "score")

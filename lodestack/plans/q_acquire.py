@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.functions import wordpiece
 from lodestack.operators import corpus
 from lodestack.plans.registry import query, table
 from lodestack.sources import acquire
@@ -88,10 +89,10 @@ def representative_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SLUG = r"substr(case when regexp_replace(regexp_replace({0}, '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') = '' then '{1}' else regexp_replace(regexp_replace({0}, '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') end, 1, 80)"
 
 
-@query(f"select p_partkey, 'payloads/' || {_SLUG.format('lower(p_type)', 'node')} || '/' || {_SLUG.format('lower(p_brand)', 'node')} || '/' || {_SLUG.format('lower(p_name)', 'link')} || '.html' as path from part")
+@query(f"select p_partkey, 'payloads/' || {_SLUG.format('lower(p_type)', 'node')} || '/' || {_SLUG.format('lower(p_brand)', 'node')} || '/' || {_SLUG.format('lower(p_name)', 'link')} || '-' || substr(sha256(p_name || p_partkey), 1, 16) || '.html' as path from part")
 def payload_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    return p.select("p_partkey", acquire.payload_path(F.array(F.lower("p_type"), F.lower("p_brand")), F.lower("p_name")).alias("path"))
+    return p.select("p_partkey", acquire.payload_path(F.array(F.lower("p_type"), F.lower("p_brand")), F.lower("p_name"), F.sha2(F.concat("p_name", F.col("p_partkey").cast("string")), 256)).alias("path"))
 
 
 @query("select doc_id, doc_id % 4 <> 0 as intact from documents")
@@ -294,9 +295,18 @@ def embedding_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return acquire.embedding_faults(e.select("vec_id", v.alias("v"), F.when(F.col("vec_id") % 7 != 0, "m").alias("model")), "v", dim, "model", "m").select("vec_id", "faults")
 
 
-@query("select doc_id, n_chars > 512 as too_long from documents")
+_PLAIN = "strip_accents(lower(coalesce(text, '')))"
+
+
+@query(rf"with w as (select doc_id, regexp_extract_all({_PLAIN}, '[^\s\p{{P}}$+<=>^`|~]+') as ws, length(regexp_replace({_PLAIN}, '[^\p{{P}}$+<=>^`|~]', '', 'g')) as marks from documents), n as (select doc_id, (coalesce(list_sum(list_transform(ws, lambda x: case when length(x) > 100 then 1 else length(x) end)), 0) + marks + 2)::bigint as tokens from w) select doc_id, tokens, tokens <= 512 as fits from n")
 def token_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", acquire.over_limit(F.col("n_chars")).alias("too_long"))
+    """WordPiece tokens of each document, by a vocabulary of all its characters, and whether they fit the model."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # as many as there are characters in use
+    seen = [r.c for r in d.select(F.explode(F.split("text", "")).alias("c")).distinct().collect()]
+    found = sorted({x for c in seen for w in wordpiece.words(c) for x in w})
+    vocabulary = [wordpiece.UNKNOWN, wordpiece.FIRST, wordpiece.LAST, *found, *[f"##{x}" for x in found]]
+    return wordpiece.tokenised(d, "text", vocabulary).select("doc_id", "tokens", "fits")
 
 
 @query("select source, count(*) as n, min(doc_id) as first_id, max(doc_id) as last_id from documents group by source")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestack.operators import crawl, digests, payloads, snapshots, stored
 from lodestack.plans import store
 from lodestack.plans.registry import query, table
-from lodestack.sources import keyset, listings, quarantine
+from lodestack.sources import keyset, listings, quarantine, register
 from lodestack.streaming import authoritative
 
 PAGE, CEILING = 500, ("1998-06-30", 1 << 40)
@@ -325,3 +325,23 @@ def contract_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     rules = [*quarantine.path_faults(c("payload"), "payload"), *quarantine.media_type_faults(c("media_type"), "media_type"), *quarantine.digest_faults(c("sha256"), "sha256"), *quarantine.html_faults(c("html"), "html")]
     return rows.select("page_id", F.explode(quarantine.reasons(rules)).alias("fault"))
+
+
+@query("""with c as (select c_custkey as k, 'https://reg.example/c/' || c_custkey as url from customer)
+select k::varchar as native_id, case when k % 11 = 0 then 'document is missing' when k % 13 = 0 then 'document does not match its inventory row' when k % 17 = 0 then 'document differs from its hash' end as fault,
+ case when k % 11 <> 0 and k % 13 <> 0 and k % 17 <> 0 then '<p><a href="' || case when k + 1 in (select k from c) then 'doc:' || (k + 1) || '#s' else 'https://reg.example/c/' || (k + 1) || '#s' end || '">next</a> <a href="https://else.example/">x</a></p>' end as html from c""")
+def register_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a register's store against its inventory, with planted faults; links between them turned into references."""
+    k = F.col("c_custkey")
+    address = lambda n: F.concat(F.lit("https://reg.example/c/"), n.cast("string"))
+    html = F.concat(F.lit('<p><a href="'), address(k + 1), F.lit('#s">next</a> <a href="https://else.example/">x</a></p>'))
+    docs = table(spark, sf_dir, "customer").select(k.cast("string").alias("native_id"), address(k).alias("canonical_url"), F.col("c_name").alias("title"), html.alias("html"))
+    whole, at = _fresh(spark, "register"), _fresh(spark, "register")
+    register.write(docs, "reg", whole)
+    # the same store with documents lost, moved and changed
+    held, n = spark.read.json(f"{whole}/documents"), F.col("native_id").cast("long")
+    changed = held.where(n % 11 != 0).withColumn("canonical_url", F.when(n % 13 == 0, "https://reg.example/other").otherwise(F.col("canonical_url"))).withColumn("title", F.when(n % 17 == 0, "changed").otherwise(F.col("title")))
+    changed.write.partitionBy("prefix").json(f"{at}/documents")
+    for part in ("inventory", "state"):
+        spark.read.json(f"{whole}/{part}").write.json(f"{at}/{part}")
+    return register.read(spark, at, "reg").select("native_id", "fault", "html")

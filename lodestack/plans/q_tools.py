@@ -79,7 +79,7 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
     docs = documents(spark, sf_dir)
     names = [docs.select("source_id", F.col("native_id").alias("row_id"), F.lit(i).alias("col"), simple_tokens(F.col(c)).alias("tokens")) for i, c in enumerate(("title", "headings"))]
     titles = lexical.build_index(reduce(DataFrame.unionByName, names))
-    return Engine(docs, chunks(spark, sf_dir), held, titles, near, StoredSeed(near), phrases=lambda q: [[t] for t in q.lower().split()])
+    return Engine(docs, chunks(spark, sf_dir), held, titles, near, StoredSeed(near), phrases=lambda q: [[t] for t in q.lower().split()], generation=store.fingerprint(spark, *texts, *vectors))
 
 
 _DOCS = """dd as (select 'lib' as source_id, upper(coalesce(lang, 'xx')) || '/' || doc_id as native_id, upper(coalesce(lang, 'xx')) as type, 'Item ' || doc_id || ' of ' || coalesce(source, 'none') as title,

@@ -116,10 +116,11 @@ def representative_path(canonical_id: Column, heading: Column, title: Column) ->
     return F.when(top == "Other", F.array(F.lit("Other"))).otherwise(some)
 
 
-def payload_path(parts: Column, canonical_id: Column) -> Column:
-    """Where a payload lies below its root: slugs of the path, then the id's with .html."""
+def payload_path(parts: Column, canonical_id: Column, digest: Column) -> Column:
+    """Where a payload lies below its root: slugs of the path, then the id's with the content's digest, so that no payload takes another's place."""
     folders = F.transform(parts, lambda p: T.slug(p, "node"))
-    return F.concat_ws("/", F.lit("payloads"), F.array_join(folders, "/"), F.concat(T.slug(canonical_id, "link"), F.lit(".html")))
+    name = F.concat(T.slug(canonical_id, "link"), F.lit("-"), F.substring(digest, 1, 16), F.lit(".html"))
+    return F.concat_ws("/", F.lit("payloads"), F.array_join(folders, "/"), name)
 
 
 def payload_intact(size: Column, digest: Column, data: Column) -> Column:
@@ -260,9 +261,10 @@ def is_missing_page(html: Column, content: str = "judgment_content") -> Column:
 def alphabet(links: DataFrame, label: str, href: str, most: int = 32) -> DataFrame:
     """Index pages: links of a single letter, once each, in order; more than ``most`` is an error."""
     found = links.where(F.col(label).rlike("^[A-Za-z]$")).select(F.upper(label).alias("letter"), F.col(href).alias("href")).distinct()
-    if found.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} index pages")
-    return found
+    # a row more than is allowed at most, counted where the plan runs
+    some = found.limit(most + 1).withColumn("__n", F.count("*").over(Window.partitionBy()))
+    allowed = F.when(F.col("__n") > most, F.raise_error(F.lit(f"more than {most} index pages")).cast("boolean")).otherwise(F.lit(True))
+    return some.where(allowed).drop("__n")
 
 
 def united(*tables: DataFrame) -> DataFrame:
@@ -307,8 +309,3 @@ def embedding_faults(rows: DataFrame, vector: str, dim: int, model: str, expecte
     finite = F.forall(F.coalesce(vector, F.array().cast("array<float>")), lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
     named = F.array(F.when(F.coalesce(F.size(vector) != dim, F.lit(True)), "length"), F.when(~F.col(model).eqNullSafe(F.lit(expected)), "model"), F.when(~finite, "finite"))
     return rows.withColumn("faults", F.filter(named, lambda x: x.isNotNull()))
-
-
-def over_limit(tokens: Column, limit: int = 512) -> Column:
-    """Inputs beyond the model's limit; they are errors, never cut."""
-    return F.coalesce(tokens > limit, F.lit(True))

@@ -41,12 +41,13 @@ def rounded(df):
 
 
 @pytest.mark.parametrize("phrases", [[["w0"]], [["w1"], ["w2"]], [["w30"], ["w0"]], [["w1"], ["w1"]], [["w1", "w2"]], [["w1", "w2"], ["w0"]], [["absent"]], [["w0"], ["absent"]], []])
-@pytest.mark.parametrize("k", [1, 7, 5000])
-def test_same_as_without_store(texts, index, phrases, k):
+def test_same_as_without_store(texts, index, phrases):
     postings, rows = lexical.build_index(texts)
-    for source in ("a", "b"):
+    for source, sizes in (("a", (7, 5000)), ("b", (1,))):
         mine = lexical.bm25(postings.where(F.col("source_id") == source), rows.where(F.col("source_id") == source), phrases)
-        assert rounded(index.search(source, phrases, k)) == rounded(lexical.top(mine.select("row_id", "score"), k, "row_id"))
+        want = rounded(lexical.top(mine.select("row_id", "score"), 5000, "row_id"))
+        for k in sizes:
+            assert rounded(index.search(source, phrases, k)) == want[:k]
 
 
 def test_filter_before_cut(texts, index):
@@ -137,6 +138,14 @@ def test_plane_is_exact(vectors, held):
     assert held.nearest("x", seed, 5, some.where("chunk_id < 0")).count() == 0
 
 
+def test_kept_bitmaps(vectors, held):
+    """What a filter admits is made once for a key; another key is another set."""
+    seed, ids = held.vector("x", 35), vectors.where("source_id = 'x'").select("chunk_id")
+    some = held.nearest("x", seed, 9, ids.where("chunk_id % 3 = 0"), key="third").collect()
+    assert held.nearest("x", seed, 9, ids.where("chunk_id < 0"), key="third").collect() == some
+    assert held.nearest("x", seed, 9, ids.where("chunk_id < 0"), key="none").count() == 0
+
+
 def test_eligible_without_vector(spark, held):
     asked = spark.createDataFrame([(35,), (36,)], "chunk_id long")
     assert held.nearest("x", held.vector("x", 35), 5, asked).count() == 1

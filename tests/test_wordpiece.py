@@ -42,3 +42,16 @@ def test_table(spark):
     df = spark.createDataFrame([(1, "the law"), (2, None), (3, "a " * 20)], "id long, text string")
     got = {r.id: (r.tokens, r.fits) for r in wordpiece.tokenised(df, "text", VOCABULARY, 10).collect()}
     assert got == {1: (4, True), 2: (2, True), 3: (22, False)}
+
+
+def test_exact_chunks():
+    """No chunk has more tokens than the limit, and nothing is lost."""
+    from lodestack.functions import chunking
+
+    count = lambda x: len(x.replace(" ", "")) + 2
+    page = "<article><h1>Title</h1>" + "".join(f"<p>{'word' * 30} {'many short words ' * 40}{i}.</p>" for i in range(5)) + "</article>"
+    loose = chunking.chunk_html(page)
+    tight = chunking.chunk_html(page, count=count, limit=200)
+    assert max(count(x) for _, _, x in loose) > 200 >= max(count(x) for _, _, x in tight)
+    assert [o for o, _, _ in tight] == list(range(len(tight)))
+    assert "".join("".join(x.split()) for _, _, x in tight) == "".join("".join(x.split()) for _, _, x in loose)
