@@ -296,7 +296,9 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole hybrid search: two lists, fusion, metadata of the candidates only, diversity, cut."""
     fused = ranking.rrf(*_two_lists(spark, sf_dir)).withColumn("score", F.round("score", 12))
     meta = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document"), (F.length("text") < 400).alias("is_intro"))
-    found = ranking.with_metadata(fused, meta)
+    # the table has vectors without a document, which are no candidates here; the engine, whose pool is checked, calls this an error
+    known = meta.select("chunk_id").join(F.broadcast(fused.select("chunk_id")), "chunk_id")
+    found = ranking.with_metadata(fused.join(known, "chunk_id", "left_semi"), meta)
     return ranking.diverse(found, 10).select("chunk_id", "document", "rank")
 
 
