@@ -71,7 +71,7 @@ class Engine:
         self,
         documents: DataFrame,
         chunks: DataFrame,
-        chunk_index: tuple[DataFrame, DataFrame] | LexicalStore,
+        chunk_index: tuple[DataFrame, DataFrame] | LexicalStore | None,
         title_index: tuple[DataFrame, DataFrame] | None = None,
         embeddings: DataFrame | Plane | None = None,
         provider: EmbeddingProvider | None = None,
@@ -101,6 +101,8 @@ class Engine:
 
     def keyword(self, query: str, source: str, pool: DataFrame, limit: int) -> DataFrame:
         """Statistics of the whole source; the filter applies before the cut."""
+        if self.index is None:
+            raise ValueError("this corpus has no index of chunks")
         if isinstance(self.index, LexicalStore):
             return self.index.search(source, self.phrases(query), limit, pool.select(F.col("chunk_id").alias("row_id"))).withColumnRenamed("row_id", "chunk_id")
         postings, rows = (df.where(F.col("source_id") == source) for df in self.index)

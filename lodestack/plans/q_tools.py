@@ -60,8 +60,12 @@ class StoredSeed(EmbeddingProvider):
         return [self.held.vector(SOURCE, SEED) for _ in texts]
 
 
-def engine(spark: SparkSession, sf_dir: str) -> Engine:
-    """An engine over the stored index and plane of this corpus, built by the first query that asks."""
+def engine(spark: SparkSession, sf_dir: str, words: bool = True, vectors_: bool = True) -> Engine:
+    """An engine over the stored index and plane of this corpus, built by the first query that asks.
+
+    A caller whose mode reads no ``words`` or no ``vectors_`` opens (and so
+    builds) no structure for them.
+    """
     texts, vectors = [f"{sf_dir}/documents.parquet"], [f"{sf_dir}/embeddings.parquet"]
 
     def index(path: str) -> None:
@@ -74,12 +78,12 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
         rows = table(spark, sf_dir, "embeddings").join(held, "vec_id", "left_semi").select(F.lit(SOURCE).alias("source_id"), (F.col("vec_id") * LINES).alias("chunk_id"), "embedding")
         plane.build(rows, path)
 
-    held = store.once(spark, "tools-index", texts, index, lambda p: lexstore.LexicalStore(spark, p, {SOURCE}))
-    near = store.once(spark, "tools-plane", [*texts, *vectors], floats, lambda p: plane.Plane(spark, p))
+    held = store.once(spark, "tools-index", texts, index, lambda p: lexstore.LexicalStore(spark, p, {SOURCE})) if words else None
+    near = store.once(spark, "tools-plane", [*texts, *vectors], floats, lambda p: plane.Plane(spark, p)) if vectors_ else None
     docs = documents(spark, sf_dir)
     names = [docs.select("source_id", F.col("native_id").alias("row_id"), F.lit(i).alias("col"), simple_tokens(F.col(c)).alias("tokens")) for i, c in enumerate(("title", "headings"))]
     titles = lexical.build_index(reduce(DataFrame.unionByName, names))
-    return Engine(docs, chunks(spark, sf_dir), held, titles, near, StoredSeed(near), phrases=lambda q: [[t] for t in q.lower().split()], generation=store.fingerprint(spark, *texts, *vectors))
+    return Engine(docs, chunks(spark, sf_dir), held, titles, near, StoredSeed(near) if near else None, phrases=lambda q: [[t] for t in q.lower().split()], generation=store.fingerprint(spark, *texts, *vectors))
 
 
 _DOCS = """dd as (select 'lib' as source_id, upper(coalesce(lang, 'xx')) || '/' || doc_id as native_id, upper(coalesce(lang, 'xx')) as type, 'Item ' || doc_id || ' of ' || coalesce(source, 'none') as title,
@@ -111,7 +115,7 @@ def _hits(found: DataFrame) -> DataFrame:
 @query(f"with {_DOCS}, {_SCORED.format(where=_CURRENT, limit=100)}, {_DIVERSE.format(fused='lx', cap=2, k=20)} {_TOLD}")
 def tool_search_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword search: the whole engine, current documents only."""
-    return _hits(engine(spark, sf_dir).search(QUERY, SearchOptions(SOURCE, k=20, mode="keyword", include_snippet=False)))
+    return _hits(engine(spark, sf_dir, vectors_=False).search(QUERY, SearchOptions(SOURCE, k=20, mode="keyword", include_snippet=False)))
 
 
 @query(f"with {_DOCS}, {_SCORED.format(where=_CURRENT, limit=50)}, {_NEAR.format(limit=50)}, rf as (select chunk_id, sum(p) as score from (select chunk_id, 1.0::double / (60 + rank) as p from nr union all select chunk_id, 1.0::double / (60 + rank) from lx) group by chunk_id), {_DIVERSE.format(fused='rf', cap=2, k=10)} {_TOLD}")
@@ -123,13 +127,13 @@ def tool_search_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {_DOCS}, {_SCORED.format(where=f'type in ({chr(39)}EN{chr(39)}) and date >= {chr(39)}1995-01-01{chr(39)} and date <= {chr(39)}2015-12-31{chr(39)}', limit=50)}, {_DIVERSE.format(fused='lx', cap=1, k=50)}, z as (select *, row_number() over (order by date desc nulls last, document, chunk_id) as r from y) {_TOLD.replace('y.rank', 'y.r as rank').replace('from y ', 'from z y ')} where y.r <= 10")
 def tool_search_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filtered by type and dates, withdrawn ones included, newest first, one hit of a document."""
-    return _hits(engine(spark, sf_dir).search(QUERY, SearchOptions(SOURCE, k=10, mode="keyword", types=("EN",), date_from="1995-01-01", date_to="2015-12-31", current_only=False, max_per_doc=1, sort_by="recency", include_snippet=False)))
+    return _hits(engine(spark, sf_dir, vectors_=False).search(QUERY, SearchOptions(SOURCE, k=10, mode="keyword", types=("EN",), date_from="1995-01-01", date_to="2015-12-31", current_only=False, max_per_doc=1, sort_by="recency", include_snippet=False)))
 
 
 @query(f"with {_DOCS}, pool as (select chunk_id, native_id as document, date, ord = 0 and strlen(ch.text) < 100 as is_intro from ch join dd using (native_id) where {_CURRENT}), {_NEAR.format(limit=50)}, sx as (select * from nr where chunk_id <> {SEED}), {_DIVERSE.format(fused='sx', cap=2, k=10)} {_TOLD}")
 def tool_search_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours of a stored chunk, itself left out."""
-    return _hits(engine(spark, sf_dir).search("", SearchOptions(SOURCE, k=10, similar_to=SEED, include_snippet=False)))
+    return _hits(engine(spark, sf_dir, words=False).search("", SearchOptions(SOURCE, k=10, similar_to=SEED, include_snippet=False)))
 
 
 @query(f"""with {_DOCS}, tt as (select native_id, title, type, date, regexp_extract_all(lower(title), '[a-z0-9]+') || regexp_extract_all(lower(headings), '[a-z0-9]+') as t from dd), tf as (select *, len(t) as len, len(list_filter(t, lambda x: x = 'item')) as tf0, len(list_filter(t, lambda x: x = '7')) as tf1 from tt),
@@ -137,7 +141,7 @@ st as (select count(*) as n, avg(len) as mean, count(*) filter (tf0 > 0) as df0,
 select row_number() over (order by score desc, native_id) as rank, native_id, title, type, date, round(score, 9) as score from sc qualify rank <= 10""")
 def tool_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles and headings that hold every word of a query."""
-    return engine(spark, sf_dir).title_hits("item 7", SOURCE).select("rank", "native_id", "title", "type", "date", F.round("score", 9).alias("score"))
+    return engine(spark, sf_dir, words=False, vectors_=False).title_hits("item 7", SOURCE).select("rank", "native_id", "title", "type", "date", F.round("score", 9).alias("score"))
 
 
 _REFS = [11, 3, 40, 12, 5]
