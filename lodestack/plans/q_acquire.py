@@ -303,7 +303,7 @@ def token_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WordPiece tokens of each document, by a vocabulary of all its characters, and whether they fit the model."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # as many as there are characters in use
-    seen = [r.c for r in d.select(F.explode(F.split("text", "")).alias("c")).distinct().collect()]
+    seen = [r.c for r in wordpiece.characters(d, "text").collect()]
     found = sorted({x for c in seen for w in wordpiece.words(c) for x in w})
     vocabulary = [wordpiece.UNKNOWN, wordpiece.FIRST, wordpiece.LAST, *found, *[f"##{x}" for x in found]]
     return wordpiece.tokenised(d, "text", vocabulary).select("doc_id", "tokens", "fits")
