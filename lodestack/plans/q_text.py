@@ -13,16 +13,25 @@ from lodestack.functions import text as T
 from lodestack.operators import order
 from lodestack.plans.registry import query, table
 
+#: Bytes of a batch that are turned into Python objects at a time.
+SLICE_BYTES = 4 << 20
 _TITLE = r"trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g'))"
 
 
+def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about SLICE_BYTES."""
+    step = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def mapped(df: DataFrame, column: str, f: Callable[[str], list[dict]], schema: str, kinds: dict[str, pa.DataType]) -> DataFrame:
-    """``df`` without ``column``, a row for each record that ``f`` finds in it; in Arrow batches."""
+    """``df`` without ``column``, a row for each record that ``f`` finds in it; in Arrow batches, of which a slice at a time is in Python objects."""
     names = [c for c in df.columns if c != column]
     ddl = ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names], schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (s for whole in batches for s in sliced(whole)):
             at, rows = [], []
             for i, x in enumerate(b.column(b.schema.get_field_index(column)).to_pylist()):
                 found = f(x or "")
