@@ -97,17 +97,21 @@ def _with_subject(primary: Column, heads: Column) -> Column:
     return F.when(primary.isNotNull(), F.concat_ws(" — ", primary, subject["text"]))
 
 
-def _levels(heads: Column, levels: Column) -> tuple[Column, Column]:
-    """A title of the first three levels that follow one another; the first heading of level 2 where there is no level 1."""
-    rows = F.filter(F.transform(F.arrays_zip(heads.alias("h"), levels.alias("l")), lambda x, i: F.struct(i.alias("at"), x["h"]["text"].alias("text"), x["l"].alias("level"))), lambda r: r["text"] != "")
-    after = lambda level, at: F.get(F.filter(rows, lambda r: (r["level"] == level) & (r["at"] > at)), F.lit(0))
-    one = after(1, F.lit(-1))
-    two = after(2, one["at"])
-    three = after(3, F.coalesce(two["at"], one["at"]))
-    shown_two = F.when(~h.same_start(two["text"], one["text"]), two["text"])
-    shown_three = F.when(~h.same_start(three["text"], one["text"]) & ~F.coalesce(h.same_start(three["text"], shown_two), F.lit(False)), three["text"])
-    usable = F.size(heads) == F.size(levels)
-    return F.when(usable & one.isNotNull(), F.concat_ws(" — ", one["text"], shown_two, shown_three)), F.when(usable & one.isNull(), after(2, F.lit(-1))["text"])
+def _with_levels(df: DataFrame) -> DataFrame:
+    """The first three levels that follow one another, each found once: __one, __two, __three; __second where there is no level 1."""
+    heads, usable = F.col("__heads"), F.size("__heads") == F.size("__levels")
+    rows = F.filter(F.transform(F.arrays_zip(heads.alias("h"), F.col("__levels").alias("l")), lambda x, i: F.struct(i.alias("at"), x["h"]["text"].alias("text"), x["l"].alias("level"))), lambda r: r["text"] != "")
+    after = lambda level, at: F.get(F.filter("__rows", lambda r: (r["level"] == level) & (r["at"] > at)), F.lit(0))
+    df = df.withColumn("__rows", F.when(_used("levels", "second_level") & usable, rows))
+    df = df.withColumn("__one", after(1, F.lit(-1))).withColumn("__two", after(2, F.col("__one.at")))
+    df = df.withColumn("__three", after(3, F.coalesce("__two.at", "__one.at"))["text"])
+    return df.withColumn("__second", F.when(F.col("__one").isNull(), after(2, F.lit(-1))["text"])).withColumn("__one", F.col("__one.text")).withColumn("__two", F.col("__two.text")).drop("__rows")
+
+
+def _titled(one: Column, two: Column, three: Column) -> Column:
+    shown_two = F.when(~h.same_start(two, one), two)
+    shown_three = F.when(~h.same_start(three, one) & ~F.coalesce(h.same_start(three, shown_two), F.lit(False)), three)
+    return F.when(one.isNotNull(), F.concat_ws(" — ", one, shown_two, shown_three))
 
 
 def _mailed(body: Column) -> Column:
@@ -117,9 +121,8 @@ def _mailed(body: Column) -> Column:
     return F.filter(lines, lambda x: (x != "") & ~F.lower(x).startswith("link:"))
 
 
-def template(heads: Column, outer: Column, inner: Column, folder: Column) -> Column:
-    """The first template whose condition holds."""
-    shapes = F.transform(F.slice(heads, 1, 6), lambda x: x["shape"])
+def template(shapes: Column, outer: Column, inner: Column, folder: Column) -> Column:
+    """The first template whose condition holds; ``shapes`` are those of the first six headings."""
     has = lambda *names: F.arrays_overlap(shapes, F.array(*[F.lit(n) for n in names]))
     at = lambda i: F.get(shapes, F.lit(i))
     told = (
@@ -138,6 +141,24 @@ def template(heads: Column, outer: Column, inner: Column, folder: Column) -> Col
     return F.coalesce(*[F.when(fits, name) for name, fits in told], F.lit("other"))
 
 
+def _used(*facts: str) -> Column:
+    """Whether a row's template asks for one of some facts."""
+    return F.col("template").isin(*[t for t in TITLES if {*TITLES[t], *DATES[t]} & {*facts}])
+
+
+def _named(c: dict[str, Column]) -> dict[str, Column]:
+    """Names that several facts are made from, told once for the rows that need them."""
+    heads, mailed = c["heads"], c["mailed"]
+    text = lambda i: F.coalesce(F.get(heads, F.lit(i))["text"], F.lit(""))
+    of = lambda n, *shapes: _first(heads, n, lambda x: x["shape"].isin(*shapes))["text"]
+    act = F.coalesce(of(6, "act"), F.get(F.filter(mailed, lambda x: h.shape(h.plain(x)) == "act"), F.lit(0)))
+    bold = F.filter(F.transform(F.regexp_extract_all(F.substring(c["body"], 1, BILL_IN), F.lit(r"\*\*([^*]+?)\*\*"), F.lit(1)), h.plain), lambda x: x.rlike(_BILL) | (h.shape(x) == "act"))
+    lawlike = lambda x: F.when(x.rlike(_BILL) | (h.shape(x) == "act"), x)
+    bill = F.coalesce(F.when(text(1).rlike(_BILL), text(1)), lawlike(text(0)), F.get(bold, F.lit(0)), F.nullif(text(0), F.lit("")))
+    spelled, spelled_year = _spelled_id(c["inner"])
+    return {"cited": F.when(_used("cited", "cited_year"), of(6, "ruling", "decision", "practice")), "act": F.when(_used("section", "act_year"), act), "bill": F.when(_used("bill", "bill_year"), bill), "spelled": spelled, "spelled_year": spelled_year}
+
+
 def _facts(c: dict[str, Column]) -> dict[str, Column]:
     """Every fact by its name; dates as ISO text or as a year."""
     heads, body, outer, inner, section = c["heads"], c["body"], c["outer"], c["inner"], c["section"]
@@ -146,7 +167,7 @@ def _facts(c: dict[str, Column]) -> dict[str, Column]:
     lead = lambda n: F.substring(body, 1, n)
     lawful = lambda x: ~x.startswith("/law/view/") & (x != "") & (F.octet_length(x) < 200)
 
-    cited = of(6, "ruling", "decision", "practice")
+    cited, act, bill = c["cited"], c["act"], c["bill"]
     mark = F.when(cited.rlike(h.WITHDRAWN), " (Withdrawn)").otherwise("")
     numbered = h.spelled(of(6, "numbered"), "numbered")
     as_name = lambda x: F.when(x["shape"] == "neutral", h.spelled(x["text"], "neutral")).when(x["shape"] == "case_number", x["text"]).otherwise(h.case_name(x["text"]))
@@ -155,19 +176,13 @@ def _facts(c: dict[str, Column]) -> dict[str, Column]:
     within = F.filter(F.transform(parts, lambda p: F.when(h.shape(p) == "neutral", h.spelled(p, "neutral")).when(h.shape(p) == "versus", h.case_name(p))), lambda x: x.isNotNull())
     filed = _first(heads, 3, lambda x: lawful(x["text"]))["text"]
     mailed = c["mailed"]
-    act = F.coalesce(of(6, "act"), F.get(F.filter(mailed, lambda x: h.shape(h.plain(x)) == "act"), F.lit(0)))
     unit = F.when(outer == "PAC", "s").otherwise("reg")
     law_year, law_number = _found(inner, SECTION_ID, 1), F.ltrim(F.regexp_extract(inner, SECTION_ID, 2), F.lit("0"))
     behind = F.when(section != "", F.concat(F.lit(" "), unit, F.lit(" "), section)).otherwise("")
     by_number = F.when(outer == "PAC", F.concat(F.lit("Act "), law_year, F.lit(" No. "), law_number, F.lit(" s "), section)).otherwise(F.concat(F.lit("Regulations "), law_year, F.lit(" reg "), section))
     letter = F.get(F.filter(F.transform(F.filter(mailed, lambda x: (F.lower(x) != "cases") & (x.contains(" v ") | x.contains(" - ("))), lambda x: F.trim(F.regexp_replace(x, r"\s*-\s*\([^)]+\)\s*$", ""))), lawful), F.lit(0))
-    bold = F.filter(F.transform(F.regexp_extract_all(lead(BILL_IN), F.lit(r"\*\*([^*]+?)\*\*"), F.lit(1)), h.plain), lambda x: x.rlike(_BILL) | (h.shape(x) == "act"))
-    lawlike = lambda x: F.when(x.rlike(_BILL) | (h.shape(x) == "act"), x)
-    bill = F.coalesce(F.when(text(1).rlike(_BILL), text(1)), lawlike(text(0)), F.get(bold, F.lit(0)), F.nullif(text(0), F.lit("")))
     bill_year = F.coalesce(_found(bill, r"\bBill ((?:19|20)\d\d)\b"), _found(bill, _YEAR))
     kind = F.endswith(h.shape(bill), F.lit("_kind"))
-    spelled, spelled_year = _spelled_id(inner)
-    one, two = _levels(heads, c["levels"])
     refs = F.filter(F.transform(c["refs"], h.plain), lambda r: r != "")
     ref = F.get(refs, F.lit(0))
     phrase = F.nullif(F.trim(c["phrase"]), F.lit(""))
@@ -203,12 +218,12 @@ def _facts(c: dict[str, Column]) -> dict[str, Column]:
         "advice": F.when(F.trim(inner) != "", F.concat_ws(" ", outer, F.trim(inner))),
         "advised": day_in(F.regexp_extract(lead(ADVICE_IN), _ADVISED, 1)),
         "front": F.when(phrase.isNotNull() & ref.isNotNull(), F.concat_ws(" — ", phrase, ref, fresh)),
-        "levels": one,
-        "second_level": two,
+        "levels": _titled(c["one"], c["two"], c["three"]),
+        "second_level": c["second"],
         "reference": F.when(c["phrase"].isNull(), ref),
-        "spelled": spelled,
-        "spelled_year": spelled_year,
-        "spelled_title_year": spelled_year,
+        "spelled": c["spelled"],
+        "spelled_year": c["spelled_year"],
+        "spelled_title_year": c["spelled_year"],
         "id": F.nullif(F.concat_ws(" ", F.nullif(outer, F.lit("")), F.nullif(inner, F.lit(""))), F.lit("")),
         "day": day_in(lead(DAY_IN)),
         "published": F.nullif(c["published"], F.lit("")),
@@ -242,11 +257,14 @@ def derive(documents: DataFrame, *keep: str) -> DataFrame:
         *[given[c].alias(f"__{c}") for c in ("levels", "published", "refs", "phrase")],
     )
     # shapes are told once, in a column of their own
-    shaped = held.withColumn("__heads", F.transform("__plain", lambda t: F.struct(t.alias("text"), h.shape(t).alias("shape")))).withColumn("__outer", F.upper("__o")).withColumn("__mailed", _mailed(F.col("__body")))
-    of = {n: F.col(f"__{n}") for n in ("heads", "outer", "inner", "section", "folder", "body", "levels", "published", "refs", "phrase", "mailed")}
-    chosen = shaped.withColumn("template", template(of["heads"], of["outer"], of["inner"], of["folder"]))
-    facts = _facts(of)
-    # each fact is computed once, then the tables choose among plain columns
-    told = chosen.select(*keep, "template", *[f.alias(f"__f_{n}") for n, f in facts.items()])
+    shaped = held.withColumn("__heads", F.transform("__plain", lambda t: F.struct(t.alias("text"), h.shape(t).alias("shape")))).withColumn("__outer", F.upper("__o"))
+    of = {n: F.col(f"__{n}") for n in ("heads", "outer", "inner", "section", "folder", "body", "published", "refs", "phrase", "mailed", "cited", "act", "bill", "one", "two", "three", "second", "spelled", "spelled_year")}
+    first = shaped.withColumn("__shapes", F.transform(F.slice("__heads", 1, 6), lambda x: x["shape"]))
+    chosen = first.withColumn("template", template(F.col("__shapes"), of["outer"], of["inner"], of["folder"]))
+    mailed = chosen.withColumn("__mailed", F.when(_used("section", "act_year", "mailed_case"), _mailed(F.col("__body"))))
+    ready = _with_levels(mailed.select("*", *[f.alias(f"__{n}") for n, f in _named(of).items()]))
+    # each fact is computed once, for the rows whose template asks for it; then the tables choose among plain columns
+    facts = {n: f if n in (*ALWAYS_TITLES, *ALWAYS_DATES) else F.when(_used(n), f) for n, f in _facts(of).items()}
+    told = ready.select(*keep, "template", *[f.alias(f"__f_{n}") for n, f in facts.items()])
     named = {n: F.col(f"__f_{n}") for n in facts}
     return told.select(*keep, "template", _chosen(named, TITLES, ALWAYS_TITLES, lambda f, _: f).alias("title"), _chosen(named, DATES, ALWAYS_DATES, _dated).alias("date"))

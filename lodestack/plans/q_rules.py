@@ -88,6 +88,8 @@ _ORDER = "select o_orderkey as n, o_custkey as c, o_orderpriority as p, year(o_o
 def derived_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Template, title and date of documents of all templates, whose parts are each order's own values."""
     o = table(spark, sf_dir, "orders").selectExpr("o_orderkey as n", "o_custkey as c", "o_orderpriority as p", "year(o_orderdate) as y", "date_format(o_orderdate, 'd MMMM yyyy') as d", "date_format(o_orderdate, 'yyyy-MM-dd') as iso")
+    # rows are few bytes and much work, so they are dealt to all tasks, not read where a file's few row groups lie
+    o = o.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     heads = _one_of(f"n % {_COUNT}", [f"array({x[1]})" for x in _DOCUMENTS])
     docs = o.selectExpr("n", f"{_sql(0)} as native_id", f"{heads.replace(chr(39) * 2, chr(92) + chr(39))} as headings", f"{_sql(2)} as category", f"{_sql(3)} as body", "iso as published")
     return metadata.derive(docs.withColumn("levels", F.transform("headings", lambda _, i: i + 1)), "n")
