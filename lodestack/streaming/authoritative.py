@@ -17,16 +17,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 #: Columns of a version; ``order_key`` sorts as versions do.
 VERSION = "id string, order_key string, is_current boolean, is_latest boolean, at timestamp, payload string"
 RESULT = "id string, order_key string, payload string, origin string"
-_HELD = "order_key string, is_current boolean, is_latest boolean, payload string, told string"
-_FALLBACK = "order_key string, payload string"
+#: One value of a key, so a call of the operator reads and writes its state once: the best version, the fallback, when the timer goes off.
+_HELD = "order_key string, is_current boolean, is_latest boolean, payload string, has_back boolean, back_key string, back_payload string, timer long"
 
 
 def configure(spark: SparkSession) -> None:
@@ -44,41 +43,41 @@ class Authoritative(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getValueState("held", _HELD)
-        self.fallback = handle.getValueState("fallback", _FALLBACK)
-
-    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:
-        best = initialState.sort_values("order_key").iloc[-1]
-        self.fallback.update((best["order_key"], best["payload"]))
-
-    def _told(self, key: tuple, order_key: str | None, payload: str | None, origin: str) -> pd.DataFrame:
-        return pd.DataFrame({"id": [key[0]], "order_key": [order_key], "payload": [payload], "origin": [origin]})
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        best = self.held.get() if self.held.exists() else None
-        before, newest = best, None
-        for frame in rows:
-            for r in frame.itertuples(index=False):
-                if best is None or _rank(r.is_current, r.is_latest, r.order_key) > _rank(best[1], best[2], best[0]):
-                    best = (r.order_key, bool(r.is_current), bool(r.is_latest), r.payload, best[4] if best else "")
-                ms = int(pd.Timestamp(r.at).timestamp() * 1000)
-                newest = ms if newest is None else max(newest, ms)
+
+    def handleInitialState(self, key: tuple, initialState: Row, timerValues: object) -> None:
+        held = self.held.get()
+        if held is None or held[5] <= initialState.order_key:
+            self.held.update((None, None, None, None, True, initialState.order_key, initialState.payload, None))
+
+    def _told(self, key: tuple, order_key: str | None, payload: str | None, origin: str) -> Row:
+        return Row(id=key[0], order_key=order_key, payload=payload, origin=origin)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        held = self.held.get()
+        before = tuple(held[:4]) if held and held[0] is not None else None
+        best, newest = before, 0
+        for r in rows:
+            if best is None or _rank(r.is_current, r.is_latest, r.order_key) > _rank(best[1], best[2], best[0]):
+                best = (r.order_key, bool(r.is_current), bool(r.is_latest), r.payload)
+            newest = max(newest, int(r.at.timestamp() * 1000))
         if best is None or best == before:
             return
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if best[1]:
-            self.held.update((*best[:4], "version"))
+        back = tuple(held[4:7]) if held else (False, None, None)
+        if held and held[7] is not None:
+            self.handle.deleteTimer(held[7])
+        timer = None if best[1] else max(newest, timerValues.getCurrentWatermarkInMs()) + self.grace_ms
+        self.held.update((*best, *back, timer))
+        if timer is None:
             yield self._told(key, best[0], best[3], "version")
         else:
-            self.held.update((*best[:4], "waiting"))
-            self.handle.registerTimer(max(newest or 0, timerValues.getCurrentWatermarkInMs()) + self.grace_ms)
+            self.handle.registerTimer(timer)
 
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        if not self.held.exists() or self.held.get()[1]:
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
+        held = self.held.get()
+        if held is None or held[1]:
             return
-        found = self.fallback.get() if self.fallback.exists() else None
-        self.held.update((*self.held.get()[:4], "fallback" if found else "missing"))
-        yield self._told(key, found[0] if found else None, found[1] if found else None, "fallback" if found else "missing")
+        self.held.update((*held[:7], None))
+        yield self._told(key, held[5], held[6], "fallback" if held[4] else "missing")
 
     def close(self) -> None:
         pass
@@ -90,7 +89,7 @@ def resolved(stream: DataFrame, fallback: DataFrame, watermark: str = "1 hour",
     stream: ``VERSION``; fallback: id, order_key, payload.
     """
     keyed = stream.withWatermark("at", watermark).groupBy("id")
-    return keyed.transformWithStateInPandas(statefulProcessor=Authoritative(grace_ms), outputStructType=RESULT, outputMode="update", timeMode="eventtime", initialState=fallback.select("id", "order_key", "payload").groupBy("id"))
+    return keyed.transformWithState(statefulProcessor=Authoritative(grace_ms), outputStructType=RESULT, outputMode="update", timeMode="eventtime", initialState=fallback.select("id", "order_key", "payload").groupBy("id"))
 
 
 def resolved_batch(versions: DataFrame, fallback: DataFrame) -> DataFrame:
