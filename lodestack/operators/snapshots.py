@@ -69,15 +69,29 @@ def coverage_faults(ranges: DataFrame, by: list[str], first: str, last: str, tot
     A range may lie within earlier ones, so each is held against the greatest
     end of all before it, not against its neighbour.
     """
-    w = Window.partitionBy(*by).orderBy(first, last).rowsBetween(Window.unboundedPreceding, -1)
-    told = ranges.withColumn("__end", F.coalesce(F.max(last).over(w), F.lit(0)))
-    gap = told.where(F.col(first) > F.col("__end") + 1).select(*by, F.lit("gap").alias("fault"), (F.col("__end") + 1).cast("long").alias("from"), (F.col(first) - 1).cast("long").alias("to"))
-    over = told.where(F.col(first) <= F.col("__end")).select(*by, F.lit("overlap").alias("fault"), F.col(first).cast("long").alias("from"), F.least(F.col(last), F.col("__end")).cast("long").alias("to"))
-    ends = ranges.groupBy(*by).agg(F.max(last).alias("__last"), F.max(total).alias("__total"), F.min(total).alias("__least"))
-    short = ends.where("__last < __total").select(*by, F.lit("short").alias("fault"), (F.col("__last") + 1).cast("long").alias("from"), F.col("__total").cast("long").alias("to"))
-    long_ = ends.where("__last > __total").select(*by, F.lit("beyond").alias("fault"), (F.col("__total") + 1).cast("long").alias("from"), F.col("__last").cast("long").alias("to"))
-    moved = ends.where("__least < __total").select(*by, F.lit("moving total").alias("fault"), F.col("__least").cast("long").alias("from"), F.col("__total").cast("long").alias("to"))
-    return gap.unionByName(over).unionByName(short).unionByName(long_).unionByName(moved)
+    order = Window.partitionBy(*by).orderBy(first, last)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # one shuffle and one sort for all kinds of faults: what has come so far is, at the last range, the whole
+    told = ranges.select(
+        *by,
+        F.col(first).cast("long").alias("__a"),
+        F.col(last).cast("long").alias("__b"),
+        F.coalesce(F.max(last).over(before), F.lit(0)).cast("long").alias("__end"),
+        F.lead(F.lit(True)).over(order).isNull().alias("__done"),
+        F.max(last).over(so_far).cast("long").alias("__last"),
+        F.max(total).over(so_far).cast("long").alias("__total"),
+        F.min(total).over(so_far).cast("long").alias("__least"),
+    )
+    kinds = (
+        ("gap", "__a > __end + 1", "__end + 1", "__a - 1"),
+        ("overlap", "__a <= __end", "__a", "least(__b, __end)"),
+        ("short", "__done and __last < __total", "__last + 1", "__total"),
+        ("beyond", "__done and __last > __total", "__total + 1", "__last"),
+        ("moving total", "__done and __least < __total", "__least", "__total"),
+    )
+    each = F.array(*[F.when(F.expr(holds), F.struct(F.lit(name).alias("fault"), F.expr(low).alias("from"), F.expr(high).alias("to"))) for name, holds, low, high in kinds])
+    return told.select(*by, F.inline(F.filter(each, lambda x: x.isNotNull())))
 
 
 def cursor_of(ranking: str, score: float, ident: int) -> str:
