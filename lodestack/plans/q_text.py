@@ -63,13 +63,14 @@ def html_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clean HTML, marker text and title of each page."""
+    """Clean HTML, its length, marker text and title of each page."""
 
     def one(h: str) -> list[dict]:
         clean, text, title = html.cleaned(h)
-        return [{"clean_chars": len(clean), "text": text, "title": title}]
+        return [{"clean": clean, "clean_chars": len(clean), "text": text, "title": title}]
 
-    return mapped(table(spark, sf_dir, "pages").select("page_id", "html"), "html", one, "clean_chars long, text string, title string", {"clean_chars": pa.int64(), "text": pa.string(), "title": pa.string()})
+    kinds = {"clean": pa.string(), "clean_chars": pa.int64(), "text": pa.string(), "title": pa.string()}
+    return mapped(table(spark, sf_dir, "pages").select("page_id", "html"), "html", one, "clean string, clean_chars long, text string, title string", kinds)
 
 
 @query()
