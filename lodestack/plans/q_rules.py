@@ -87,17 +87,22 @@ _ORDER = "select o_orderkey as n, o_custkey as c, o_orderpriority as p, year(o_o
 @query(f"select n, {_one_of(f'n % {_COUNT}', [repr(d[4]) for d in _DOCUMENTS])} as template, {_sql(5)} as title, {_sql(6)} as date from ({_ORDER})")
 def derived_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Template, title and date of documents of all templates, whose parts are each order's own values."""
+    return _derived(spark, sf_dir, "n")
+
+
+def _derived(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").selectExpr("o_orderkey as n", "o_custkey as c", "o_orderpriority as p", "year(o_orderdate) as y", "date_format(o_orderdate, 'd MMMM yyyy') as d", "date_format(o_orderdate, 'yyyy-MM-dd') as iso")
     # rows are few bytes and much work, so they are dealt to all tasks, not read where a file's few row groups lie
     o = o.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     heads = _one_of(f"n % {_COUNT}", [f"array({x[1]})" for x in _DOCUMENTS])
-    docs = o.selectExpr("n", f"{_sql(0)} as native_id", f"{heads.replace(chr(39) * 2, chr(92) + chr(39))} as headings", f"{_sql(2)} as category", f"{_sql(3)} as body", "iso as published")
-    return metadata.derive(docs.withColumn("levels", F.transform("headings", lambda _, i: i + 1)), "n")
+    docs = o.selectExpr(*keep, f"{_sql(0)} as native_id", f"{heads.replace(chr(39) * 2, chr(92) + chr(39))} as headings", f"{_sql(2)} as category", f"{_sql(3)} as body", "iso as published")
+    return metadata.derive(docs.withColumn("levels", F.transform("headings", lambda _, i: i + 1)), *keep)
 
 
-@query(f"select n as o_orderkey, {_one_of(f'n % {_COUNT}', [repr(d[4]) for d in _DOCUMENTS])} as template from ({_ORDER})")
+@query(f"with o as ({_ORDER}), t as (select n as o_orderkey, y, {_one_of(f'n % {_COUNT}', [repr(d[4]) for d in _DOCUMENTS])} as template from o), g as (select template, count(*) as n, min(y)::int as first_year from t group by template) select o_orderkey, t.template, g.n, g.first_year from t join g on t.template = g.template")
 def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The template of every document, as Columns."""
-    return derived_metadata(spark, sf_dir).select(F.col("n").alias("o_orderkey"), "template")
-
-
+    """The template of every document, how many documents have it and the earliest year among them."""
+    told = _derived(spark, sf_dir, "n", "y").select(F.col("n").alias("o_orderkey"), "template", "y")
+    # a row for each of the eleven templates, counted before the shuffle
+    of_template = told.groupBy("template").agg(F.count("*").alias("n"), F.min("y").alias("first_year"))
+    return told.join(F.broadcast(of_template), "template").select("o_orderkey", "template", "n", "first_year")
